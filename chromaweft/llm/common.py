@@ -72,7 +72,12 @@ def hash_fraction(*columns: Column) -> Column:
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int) -> DataFrame:
-    """About per_stratum rows of each stratum, chosen by a hash of the key: repeatable, no sort, no window."""
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    joined = df.join(sizes, F.col(stratum).eqNullSafe(sizes[stratum])).drop(sizes[stratum])
-    return joined.filter(hash_fraction(F.col(key)) * F.col("__n") < per_stratum).drop("__n")
+    """About per_stratum rows of each stratum, chosen by a hash of the key: repeatable, no sort, no shuffle of rows.
+
+    Strata are few (labels, languages): their sizes go through the driver.
+    """
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()
+    share = F.lit(0.0)
+    for value, n in sizes:
+        share = F.when(F.col(stratum).eqNullSafe(F.lit(value)), F.lit(per_stratum / n)).otherwise(share)
+    return df.filter(hash_fraction(F.col(key)) < share)

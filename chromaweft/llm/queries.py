@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from chromaweft.llm import quality_rules, warc
-from chromaweft.llm.common import scratch_path, table
+from pyspark.sql import functions as F
+
+from chromaweft.llm import language_id, quality_rules, toxicity, warc
+from chromaweft.llm.common import crc_mod, scratch_path, table
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    held_out = crc_mod(F.col("doc_id"), toxicity.FOLDS) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_warc(spark, sf_dir):
@@ -17,7 +26,13 @@ def op7_quality_rules(spark, sf_dir):
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_rules")
 
 
-QUERIES = {"op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules}
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    predicted = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs.select("doc_id", "lang", "text")), keep=["doc_id"])
+    return predicted.select("doc_id", (crc_mod(F.col("doc_id"), language_id.FOLDS) == language_id.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
 
 _OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
