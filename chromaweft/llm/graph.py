@@ -1,0 +1,35 @@
+"""Connected components of an edge table by large-star / small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chromaweft.llm.common import materialize
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """(node, component) of every node that has an edge (columns a, b); the component is its smallest node.
+
+    Each round rewrites the edges towards the smallest neighbour and writes them to the shared folder; a hub's
+    edges are rows, never one array. Ends when a round changes nothing.
+    """
+    edges = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = materialize(edges, "edges")
+    seen = None
+    for _ in range(max_rounds):
+        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007).alias("h")).first()
+        if (state["n"], state["h"]) == seen or not state["n"]:
+            break
+        seen = (state["n"], state["h"])
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.filter("a <> b").distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        moved = large.join(small, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        kept = small.select(F.col("u").alias("a"), F.col("m").alias("b"))
+        edges = materialize(moved.union(kept).filter("a <> b").distinct(), "edges")
+    leaves = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return leaves.union(roots.join(leaves.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left_anti"))

@@ -221,3 +221,25 @@ def shingles(word: np.ndarray, doc: np.ndarray, n_docs: int, n: int = 5, short:
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         h, d = h[new], d[new]
     return h, np.searchsorted(d, np.arange(n_docs + 1))
+
+
+_rng = np.random.default_rng(20240229)
+_A = _rng.integers(0, 1 << 31, 512, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, 512, dtype=np.uint32)
+
+
+def permuted(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th random order of 32-bit values, k < 512."""
+    v = x * _A[k] + _B[k]
+    return (v ^ (v >> np.uint32(16))) * np.uint32(0x7FEB352D)
+
+
+def minima(h: np.ndarray, bounds: np.ndarray, ks: range) -> np.ndarray:
+    """MinHash values of each text's shingles, one row per text (its row is 0 without shingles)."""
+    out = np.zeros((len(ks), len(bounds) - 1), np.uint32)
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(full):
+        x = (h >> np.uint64(32)).astype(np.uint32)
+        for i, k in enumerate(ks):
+            out[i, full] = np.minimum.reduceat(permuted(x, k), bounds[full])
+    return out.T
