@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chromaweft.llm import language_id, quality_rules, toxicity, warc
+from chromaweft.llm import decontamination, jaccard_join, language_id, quality_rules, toxicity, warc
 from chromaweft.llm.common import crc_mod, scratch_path, table
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontamination.find_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -32,7 +40,32 @@ def op9_language_id(spark, sf_dir):
     return predicted.select("doc_id", (crc_mod(F.col("doc_id"), language_id.FOLDS) == language_id.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_jaccard_join": op3_jaccard_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
+
+_SHINGLES = """
+toks AS (SELECT kind, id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM (SELECT kind, id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM src)),
+sh AS (SELECT DISTINCT kind, id, s FROM (SELECT kind, id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s FROM toks WINDOW o AS (PARTITION BY kind, id ORDER BY p)) WHERE s IS NOT NULL)
+"""
+
+_OP2 = f"""
+WITH src AS (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark),
+{_SHINGLES},
+n AS (SELECT id, count(*) AS n FROM sh WHERE kind = 'b' GROUP BY id),
+pairs AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM sh d JOIN sh b ON d.s = b.s AND d.kind = 'd' AND b.kind = 'b' GROUP BY ALL)
+SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment FROM pairs JOIN n ON n.id = item_id WHERE shared >= 0.8 * n - 1e-9
+"""
+
+_OP3 = f"""
+WITH RECURSIVE src AS (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents),
+toks0 AS (SELECT id, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM src),
+{_SHINGLES},
+sets AS (SELECT id, s FROM sh UNION ALL SELECT id, array_to_string(w, ' ') FROM toks0 WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT id, count(*) AS n FROM sets GROUP BY id),
+e AS (SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.s = b.s AND a.id <> b.id JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id
+      GROUP BY a.id, b.id, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*)) - 1e-9),
+r AS (SELECT id, id AS c FROM src UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT r.id AS doc_id, min(r.c) AS class_id, (SELECT count(*) FROM e WHERE e.a = r.id) AS n_links FROM r GROUP BY r.id
+"""
 
 _OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -80,4 +113,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE = {"op6_warc": _OP6, "op7_quality_rules": _op7_sql()}
+ORACLE = {"op2_decontamination": _OP2, "op3_jaccard_join": _OP3, "op6_warc": _OP6, "op7_quality_rules": _op7_sql()}
