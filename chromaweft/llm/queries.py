@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chromaweft.llm import decontamination, jaccard_join, language_id, quality_rules, secret_scan, toxicity, warc
+from chromaweft.llm import decontamination, jaccard_join, language_id, quality_rules, secret_scan, sp_codec, toxicity, warc
 from chromaweft.llm.common import crc_mod, scratch_path, table
 
 
@@ -21,6 +21,11 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sp_codec.encode_documents(docs, keep=["doc_id"], pieces=False)
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -45,7 +50,7 @@ def op9_language_id(spark, sf_dir):
     return predicted.select("doc_id", (crc_mod(F.col("doc_id"), language_id.FOLDS) == language_id.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_jaccard_join": op3_jaccard_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
+QUERIES = {"op4_sentencepiece": op4_sentencepiece, "op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_jaccard_join": op3_jaccard_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
 
 _SHINGLES = """
 toks AS (SELECT kind, id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM (SELECT kind, id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM src)),
