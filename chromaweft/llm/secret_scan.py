@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chromaweft.llm import textvec
 from chromaweft.llm.common import hash_fraction, materialize
@@ -335,7 +336,8 @@ def find_secrets(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: li
                 spans = pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in found], kind)
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in names], spans], names=[*names, "spans"])
 
-    types = docs.select(*names).schema.add("spans", "array<struct<kind:string,start:bigint,end:bigint>>")
+    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    types = docs.select(*names).schema.add("spans", T.ArrayType(span))
     return docs.mapInArrow(run, types)
 
 
