@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chromaweft.llm import decontamination, jaccard_join, language_id, quality_rules, secret_scan, sp_codec, toxicity, warc
+from chromaweft.llm import decontamination, jaccard_join, katz, language_id, quality_rules, secret_scan, sp_codec, toxicity, warc
 from chromaweft.llm.common import crc_mod, scratch_path, table
 
 
@@ -44,13 +44,17 @@ def op7_quality_rules(spark, sf_dir):
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_rules")
 
 
+def op8_katz(spark, sf_dir):
+    return katz.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     predicted = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs.select("doc_id", "lang", "text")), keep=["doc_id"])
     return predicted.select("doc_id", (crc_mod(F.col("doc_id"), language_id.FOLDS) == language_id.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op4_sentencepiece": op4_sentencepiece, "op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_jaccard_join": op3_jaccard_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
+QUERIES = {"op8_katz": op8_katz, "op4_sentencepiece": op4_sentencepiece, "op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_jaccard_join": op3_jaccard_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
 
 _SHINGLES = """
 toks AS (SELECT kind, id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM (SELECT kind, id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM src)),
