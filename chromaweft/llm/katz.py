@@ -1,7 +1,7 @@
 """Katz backoff bigram model with Good-Turing discounts.
 
 Tokens are words (runs of anything but blank, tab, LF, VT, FF, CR; A-Z in lower case) and one end per text. Counts
-of one to five are discounted by Good-Turing ratios (none where the counts of counts give no ratio in (0, 1]); what
+of one to five are discounted by Good-Turing ratios (see `discounts`); what
 a history's discounts leave goes to the words not seen behind it, in proportion to their discounted unigram
 probability, so that each history's probabilities, the class of unknown words included, sum to one. A history without
 discounted counts reserves one count more. The model's log probability of a text is the sum over its tokens:
@@ -166,16 +166,22 @@ def _unique(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """Good-Turing ratios d_1 .. d_K from counts of counts n_1 .. n_(K+1); ones where they give none."""
+    """Good-Turing ratios d_0 = 1, d_1 .. d_K from the counts of counts n_1 .. n_(K+1).
+
+    Where the raw counts of counts give a ratio outside (0, 1], all come from their log-linear fit n_r = c * r ** b instead; where
+    that falls no faster than 1 / r, or a count of counts is zero, nothing is discounted.
+    """
     d = np.ones(K + 1)
     if (n <= 0).any():
         return d
     r = np.arange(1, K + 1)
-    a = (K + 1) * n[K] / n[0]
-    if a < 1:
-        ratio = ((r + 1) * n[1:] / (r * n[:-1]) - a) / (1 - a)
-        if ((ratio > 0) & (ratio <= 1)).all():
-            d[1:] = ratio
+    slope = np.polyfit(np.log(np.arange(1, K + 2)), np.log(n), 1)[0]
+    for a, ratio in (((K + 1) * n[K] / n[0], (r + 1) * n[1:] / (r * n[:-1])), ((K + 1.0) ** (slope + 1), ((r + 1) / r) ** (slope + 1))):
+        if a < 1:
+            ratio = (ratio - a) / (1 - a)
+            if ((ratio > 0) & (ratio <= 1)).all():
+                d[1:] = ratio
+                break
     return d
 
 
