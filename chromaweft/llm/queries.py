@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chromaweft.llm import decontamination, jaccard_join, katz, language_id, quality_rules, secret_scan, sp_codec, toxicity, warc
+from chromaweft.llm import decontamination, jaccard_join, katz, language_id, quality_lm, quality_rules, secret_scan, sp_codec, toxicity, warc
 from chromaweft.llm.common import crc_mod, scratch_path, table
 
 
@@ -54,7 +54,12 @@ def op9_language_id(spark, sf_dir):
     return predicted.select("doc_id", (crc_mod(F.col("doc_id"), language_id.FOLDS) == language_id.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op8_katz": op8_katz, "op4_sentencepiece": op4_sentencepiece, "op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_jaccard_join": op3_jaccard_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
+def op10_quality_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality_lm.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+QUERIES = {"op10_quality_lm": op10_quality_lm, "op8_katz": op8_katz, "op4_sentencepiece": op4_sentencepiece, "op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_jaccard_join": op3_jaccard_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
 
 _SHINGLES = """
 toks AS (SELECT kind, id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM (SELECT kind, id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM src)),
