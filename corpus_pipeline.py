@@ -1,8 +1,58 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark
+items go, secrets are blanked out, and what is left is encoded.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and all its predecessor kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chromaweft.llm import decontamination, jaccard_join, secret_scan, sp_codec, toxicity
+from chromaweft.llm.common import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 (operator 5)."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("toxicity") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class at similarity 0.8 of five-word shingles (operator 3)."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item to 0.8 of its shingles (operator 2)."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, secrets replaced by a mark (operator 1)."""
+    return secret_scan.redact(docs, secret_scan.fit(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document (operator 4): packed 16-bit ids, their number and digest, and whether they decode to the text."""
+    return sp_codec.encode_documents(docs, keep=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", blank_secrets),
+    ("encoding", encode),
+]
+
+#: The classifier and the encoder cannot be put in SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
