@@ -48,11 +48,11 @@ def cut_genome(genome: DataFrame, patterns: list[str], overhangs: list[int] | in
         pieces = genome.select("chr", "chr_idx", F.length("seq").alias("size"), "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - 1), F.lit(piece))).alias("at"))
         text = F.substring("seq", F.col("at") + 1, F.lit(piece + n - 1))
         # a look-ahead matches without consuming: split at every position that begins a hit
-        parts = pieces.withColumn("parts", F.split(text, f"(?={regex})"))
-        # each part is text from one hit to the next; the first begins a hit only if the text does
+        parts = pieces.withColumn("parts", F.split(text, f"(?={regex})")).withColumn("leads", text.rlike(f"^{regex}"))
+        # every part but the first begins a hit; the first does if the text does
         begins = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.aggregate(F.slice("parts", F.lit(1), k - 1), F.lit(0), lambda a, p: a + F.length(p)))
-        hit = F.filter(F.zip_with(begins, F.col("parts"), lambda b, p: F.struct(b.alias("b"), p.alias("p"))), lambda x: x["p"].rlike(f"^{regex}") | (F.lit(False)))
-        starts = parts.select("chr", "chr_idx", "size", F.explode(F.transform(hit, lambda x: F.col("at") + x["b"] + 1)).alias("m")).filter(F.col("m") + n - 1 <= F.col("size")).distinct()
+        hit = F.filter(begins, lambda b: (b > 0) | F.col("leads"))
+        starts = parts.select("chr", "chr_idx", "size", F.explode(F.transform(hit, lambda b: F.col("at") + b + 1)).alias("m")).filter(F.col("m") + n - 1 <= F.col("size")).distinct()
         order = Window.partitionBy("chr").orderBy("m")
         ends = starts.select("chr", "chr_idx", "size", "m", F.lag("m").over(order).alias("before"))
         inner = ends.select("chr", "chr_idx", F.coalesce(F.col("before") + rem, F.lit(1)).alias("start"), (F.col("m") + rem - 1 + overhang).alias("end"))
