@@ -133,3 +133,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | No
 
     schema = docs.select(*names).schema.add("toxicity", "double")
     return docs.mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5) -> DataFrame:
+    """The rows of docs that score under `least`, their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        weights, intercept = shared.value
+        mask = weights != 0
+        for batch in batches:
+            for piece in textvec.pieces(batch):
+                doc, bucket = _presence(textvec.strings(piece.column("text")), mask)
+                total = np.bincount(doc, weights[bucket].astype(np.float64), piece.num_rows) + intercept
+                yield piece.filter(pa.array(1 / (1 + np.exp(-np.clip(total, -40, 40))) < least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,6 @@ Each stage takes (spark, docs, sf_dir) and all its predecessor kept; all but the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chromaweft.llm import decontamination, jaccard_join, secret_scan, sp_codec, toxicity
 from chromaweft.llm.common import materialize, table
@@ -15,8 +14,7 @@ from chromaweft.llm.common import materialize, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5 (operator 5)."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("toxicity") < 0.5).select(*docs.columns)
+    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
