@@ -151,21 +151,25 @@ def connect_counts(pairs: DataFrame, param: PairParam, regions: DataFrame, libra
         stretched = stretched.select("set", "chr", "chr_idx", F.coalesce("s", "start").alias("start"), F.coalesce("e", "end").alias("end"), "original", F.coalesce("nf", F.lit(0)).alias("nfrags"))
     number = F.row_number().over(Window.orderBy("chr_idx", "start", "end", "set", "original")).cast("long")  # regions are a small table
     out = stretched.withColumn("region_id", number)
-    seen = scan(pairs, param).withColumn("row", F.monotonically_increasing_id())
+    seen, slots = scan(pairs, param), [f"__{i}" for i in range(len(libraries))]
+    tallies = [F.count_if(F.col("lib") == x).alias(s) for s, x in zip(slots, libraries)]
     if param.dnase:
-        reads = [seen.select("row", "lib", F.col(f"chr{i}").alias("l_chr"), F.col(f"anchor{i}_pos").alias("l_start"), (F.col(f"anchor{i}_pos") + F.abs(f"anchor{i}_len") - 1).alias("l_end")) for i in (1, 2)]
+        # pairs at the same places are counted once; each end then meets its regions in turn
+        place = ["chr1", "anchor1_pos", "anchor1_len", "chr2", "anchor2_pos", "anchor2_len"]
+        linked = seen.groupBy(*place).agg(*tallies)
         right = out.select("region_id", "set", F.col("chr").alias("r_chr"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-        ends = [interval_join(x, right, kind).select("row", "lib", "region_id", "set") for x in reads]
-        linked = ends[0].toDF("row", "lib", "x", "sx").join(ends[1].toDF("row", "lib2", "y", "sy"), "row")
-        linked = linked.filter("sx <> sy") if second is not None else linked
-        once = linked.select("row", "lib", F.greatest("x", "y").alias("a1"), F.least("x", "y").alias("a2")).distinct()
-        return Interactions(tabulate(once, libraries, least), out, libraries, total_counts(pairs, param, libraries))
+        for i, (x, s) in enumerate((("x", "sx"), ("y", "sy")), 1):
+            left = linked.withColumns({"l_chr": F.col(f"chr{i}"), "l_start": F.col(f"anchor{i}_pos"), "l_end": F.col(f"anchor{i}_pos") + F.abs(f"anchor{i}_len") - 1})
+            linked = interval_join(left, right, kind).withColumnRenamed("region_id", x).withColumnRenamed("set", s).drop("l_chr", "l_start", "l_end", "r_chr", "r_start", "r_end")
+        once = (linked.filter("sx <> sy") if second is not None else linked).select(*place, F.greatest("x", "y").alias("a1"), F.least("x", "y").alias("a2"), *slots).distinct()
+        sums = once.groupBy("a1", "a2").agg(*[F.sum(s).alias(s) for s in slots])
+        total = sum((F.col(s) for s in slots[1:]), F.col(slots[0]))
+        return Interactions(sums.filter(total >= least).select("a1", "a2", F.array(*slots).alias("counts")), out, libraries, total_counts(pairs, param, libraries))
     # many pairs join two fragments: count them first, then spread the counts over the regions
-    counted = seen.groupBy("anchor1_id", "anchor2_id").agg(*[F.count_if(F.col("lib") == x).alias(f"__{i}") for i, x in enumerate(libraries)])
+    counted = seen.groupBy("anchor1_id", "anchor2_id").agg(*tallies)
     touch = hits.select("set", "original", "frag_id").join(out.select("set", "original", "region_id"), ["set", "original"]).select("set", "frag_id", "region_id")
     linked = counted.join(touch.toDF("sx", "anchor1_id", "x"), "anchor1_id").join(touch.toDF("sy", "anchor2_id", "y"), "anchor2_id")
     linked = linked.filter("sx <> sy") if second is not None else linked
-    slots = [f"__{i}" for i in range(len(libraries))]
     once = linked.select("anchor1_id", "anchor2_id", F.greatest("x", "y").alias("a1"), F.least("x", "y").alias("a2"), *slots).distinct()
     sums = once.groupBy("a1", "a2").agg(*[F.sum(s).alias(s) for s in slots])
     total = sum((F.col(s) for s in slots[1:]), F.col(slots[0]))

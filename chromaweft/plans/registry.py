@@ -538,3 +538,36 @@ def j5_match_margins(spark, sf_dir):
     bins = durable(counts.bin_regions(counts.fragment_bins(demo.fragments(spark, sf_dir), demo.width(spark, sf_dir))))
     diagonal = bins.select(F.col("region_id").alias("a1"), F.col("region_id").alias("a2"))
     return results.match_margins(diagonal, bins, bins).select(F.col("a1").alias("region_id"), F.col("margin1").alias("margin"))
+
+
+_S1 = """, rd AS (SELECT *, pos1 % 11 = 0 AS dup, pos2 % 13 = 0 AS un FROM near),
+mk AS (SELECT *, NOT un AND NOT dup AS ok, CASE WHEN len1 < 0 THEN pos2 ELSE pos1 END AS f5, CASE WHEN len1 < 0 THEN pos1 + 9 ELSE pos2 + 9 END AS r5, id1 = id2 AND (len1 < 0) <> (len2 < 0) AS same FROM rd)"""
+
+
+def _alignments(spark, sf_dir):
+    """Two alignments per read pair; some duplicates, some unmapped mates."""
+    p = demo.pairs(spark, sf_dir, near=True).withColumn("qname", F.monotonically_increasing_id().cast("string"))
+    flag1 = 65 + F.when(F.col("anchor1_len") < 0, 16).otherwise(0) + F.when(F.col("anchor1_pos") % 11 == 0, 1024).otherwise(0)
+    flag2 = 129 + F.when(F.col("anchor2_len") < 0, 16).otherwise(0) + F.when(F.col("anchor2_pos") % 13 == 0, 4).otherwise(0)
+    one = F.struct(flag1.alias("flag"), F.col("chr1").alias("chr"), F.col("anchor1_pos").alias("pos"))
+    two = F.struct(flag2.alias("flag"), F.col("chr2").alias("chr"), F.col("anchor2_pos").alias("pos"))
+    return durable(p.select("qname", F.explode(F.array(one, two)).alias("x")).select("qname", "x.*", F.lit(60).alias("mapq"), F.lit("10M").alias("cigar")))
+
+
+@query(f"{_S1} SELECT count(*) AS total, count(*) FILTER (dup) AS marked, count(*) FILTER (un) AS filtered, count(*) FILTER (ok) AS mapped, count(*) FILTER (ok AND same AND r5 >= f5) AS dangling, count(*) FILTER (ok AND same AND r5 < f5) AS self_circle FROM mk")
+def s1_prepare_pairs(spark, sf_dir):
+    totals = alignments.prepare_pairs(_alignments(spark, sf_dir), demo.fragments(spark, sf_dir))[1]
+    return totals.select("total", "marked", "filtered", "mapped", "dangling", "self_circle")
+
+
+@query(f"{_S1}, kp AS (SELECT * FROM mk WHERE ok AND NOT same) SELECT id1 AS anchor1_id, id2 AS anchor2_id, count(*) AS n FROM kp GROUP BY ALL")
+def s1_prepared_pairs(spark, sf_dir):
+    pairs = alignments.prepare_pairs(_alignments(spark, sf_dir), demo.fragments(spark, sf_dir))[0]
+    return pairs.groupBy(F.col("anchor1_id").cast("long").alias("anchor1_id"), F.col("anchor2_id").cast("long").alias("anchor2_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_S1} SELECT count(*) AS total, count(*) FILTER (ok) AS mapped, CAST(0 AS BIGINT) AS dangling, sum(pos1 + pos2) FILTER (ok) AS places FROM mk")
+def s2_prepare_pairs_dnase(spark, sf_dir):
+    pairs, totals = alignments.prepare_pairs(_alignments(spark, sf_dir), chromosomes=_lengths(spark, sf_dir))
+    places = pairs.agg(F.sum(F.col("anchor1_pos") + F.col("anchor2_pos")).alias("places"))
+    return totals.select("total", "mapped", "dangling").crossJoin(places)
