@@ -59,7 +59,18 @@ def op10_quality_lm(spark, sf_dir):
     return quality_lm.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "kept")
 
 
-QUERIES = {"op10_quality_lm": op10_quality_lm, "op8_katz": op8_katz, "op4_sentencepiece": op4_sentencepiece, "op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op3_jaccard_join": op3_jaccard_join, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_decontamination": op2_decontamination,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_katz": op8_katz,
+    "op9_language_id": op9_language_id,
+    "op10_quality_lm": op10_quality_lm,
+}
 
 _SHINGLES = """
 toks AS (SELECT kind, id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM (SELECT kind, id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM src)),
@@ -132,4 +143,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE = {"op2_decontamination": _OP2, "op3_jaccard_join": _OP3, "op6_warc": _OP6, "op7_quality_rules": _op7_sql()}
+#: The others are models: the tests compare them with plain versions.
+ORACLE = {
+    "op2_decontamination": _OP2,
+    "op3_jaccard_join": _OP3,
+    "op6_warc": _OP6,
+    "op7_quality_rules": _op7_sql(),
+}
