@@ -41,6 +41,8 @@ STEP = 16
 TOLERANCE = 1e-4
 #: Nodes of one block; a task holds two blocks at most.
 BLOCK = 512
+#: Up to so many dropped ids are broadcast to the documents; beyond, the documents are shuffled to them.
+BROADCAST_IDS = 1_000_000
 #: Nodes of small components packed into one task.
 PACKED = 2048
 
@@ -262,7 +264,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: that with the smallest id. Rows without an id stay."""
     found = materialize(classes(docs, threshold), "jaccard-classes")
-    gone = found.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    gone = materialize(found.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "jaccard-gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeats = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeats.take(1):  # the same id in several rows: one of each id and text stays
