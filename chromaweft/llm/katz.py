@@ -34,12 +34,12 @@ from chromaweft.llm.common import crc_mod, materialize, shuffle_width
 FOLDS = 10
 K = 5
 HOT = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 12 << 20
 #: Tokens per shard.
 SHARD_TOKENS = 2_000_000
 END = np.uint64(0x0123456789ABCDEF)
 BOS = np.uint64(0xFFFFFFFF)
-_codec = pa.Codec("zstd", 1)
+_codec = pa.Codec("zstd", 3)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -342,7 +342,8 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
         tally += np.frombuffer(r["a"], np.int64)
     unigrams = Unigrams(tally)
 
-    batches = stored.unionByName(words.filter(F.col("kind") == WORD_REPLY))
+    # the words' hashes have been asked for; what is shuffled from here on are numbers
+    batches = stored.withColumn("c", F.lit(None).cast("binary")).unionByName(words.filter(F.col("kind") == WORD_REPLY))
     asked = batches.groupBy("batch").applyInArrow(_ask_bigrams(starts, unigrams, shards), DDL)
     hot = _hot_words(words, unigrams, starts)
     bigrams = materialize(asked.groupBy("shard").applyInArrow(_answer_bigrams(unigrams, hot), DDL), "katz-bigrams")
