@@ -33,8 +33,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CUE = re.compile("|".join(CUES))
-#: Bound on the training sample, documents.
-SAMPLE = 3000
+#: Bound on the training sample: documents, and windows around tagged tokens of each (and two windows elsewhere).
+SAMPLE = 2000
+TAGGED = 4
 MADE_UP = 300
 LENGTH = 32
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -153,7 +154,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(features: np.ndarray, tags: np.ndarray, steps: int = 120, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(features: np.ndarray, tags: np.ndarray, steps: int = 90, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions by maximum likelihood. features: sequences x LENGTH x templates; tags -1 beyond the end."""
     n, length, _ = features.shape
     real = tags >= 0
@@ -271,7 +272,7 @@ def _made_up(rng: np.random.Generator) -> list[str]:
 
 
 def _sequences(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of LENGTH tokens around tagged tokens, and as many elsewhere."""
+    """Windows of LENGTH tokens around tagged tokens, and some elsewhere; a bounded number of each text."""
     feats, tags = [], []
     for i in range(0, len(texts), 500):
         part = texts[i : i + 500]
@@ -289,8 +290,12 @@ def _sequences(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray,
                     tag[a:b] = INSIDE
                     tag[a] = BEGIN
         columns = np.stack(tokens.columns, axis=1)
-        odd = np.flatnonzero((tag == 0) & (((tokens.columns[0] & 31) & _DIGIT) != 0))
-        middles = np.concatenate([np.flatnonzero(tag == BEGIN), odd[rng.permutation(len(odd))[: 200]], rng.integers(0, n, 200)])
+        # of each text: its first tagged tokens, one token with digits, one of any kind
+        order = rng.permutation(n)
+        odd = order[(tag[order] == 0) & (((tokens.columns[0][order] & 31) & _DIGIT) != 0)]
+        begin = np.flatnonzero(tag == BEGIN)
+        nth = np.arange(len(begin)) - np.searchsorted(tokens.doc[begin], tokens.doc[begin])
+        middles = np.concatenate([begin[nth < TAGGED], odd[np.unique(tokens.doc[odd], return_index=True)[1]], order[np.unique(tokens.doc[order], return_index=True)[1]]])
         for m in middles.tolist():
             low, high = np.searchsorted(tokens.doc, [tokens.doc[m], tokens.doc[m] + 1])
             a = max(int(low), m - int(rng.integers(4, LENGTH - 4)))
