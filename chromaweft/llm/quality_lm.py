@@ -1,20 +1,28 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's n-grams are four symbols of text (32 symbols: blank, a to z with accents dropped, digits, other letters,
-common punctuation, other signs, and the edge of a text). All trusted documents are counted. Counts, continuation
-counts, counts of counts and context totals are tables sharded by n-gram and put together by joins; a table never has more than
-32 ** 4 rows, so that the finished one (4 MB) is sent to every task whatever the corpus, and documents are scored where they are
-read. A document's perplexity is compared with the quantile of the trusted documents of its language.
+The model's n-grams are three words (64-bit hashes; runs of anything but blank, tab, LF, VT, FF, CR; A-Z in lower case; one end per
+text). Behind the single word stands a spelling model, of four symbols of text (32 symbols: blank, a to z with accents dropped,
+digits, other letters, common punctuation, other signs, and the edge of a text), which gives unknown words and the blanks before
+them their probability. Perplexity is per symbol, so that texts of any kind of words compare.
+
+Counts, continuation counts, counts of counts and context totals of words are tables that grow with the corpus. Texts become
+batches; a batch asks shards (ranges of the n-grams' hash) for its distinct n-grams and contexts, and is scored with
+the answers. A key is asked for once per batch, so that frequent words cost no more than others. The spelling model has
+at most 32 ** 4 rows (4 MB) and is sent to every task.
+
+A tenth of the trusted documents, by a hash of the id, is not learned from: the quantile of their perplexity is the threshold
+of their language, since texts that were learned look better than others.
 
 Defined results: null and empty texts have the perplexity of an immediate end; null languages are one language of
-their own; a language without trusted documents has the threshold of all trusted ones; without any, the model is
-uniform, every perplexity is 32 and all are kept; null ids are never trusted; labels that disagree count as good;
-repeated rows get repeated results.
+their own; a language without held-out documents has the threshold of all held-out ones, or, without any, of all trusted ones; without
+trusted documents the model is uniform, every perplexity is 32 and all are kept; null ids are never trusted; labels that disagree count as
+good; repeated rows get repeated results.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweft.llm import textvec
-from chromaweft.llm.common import materialize
+from chromaweft.llm.common import crc_mod, materialize, shuffle_width
+from chromaweft.llm.katz import pack, pack_sorted, shard_of, unpack, unpack_sorted
 
 SYMBOLS, ORDER = 32, 4
 EDGE = 31
 QUANTILE = 0.99
+END, BOS = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
+#: One in so many trusted documents is held out for the thresholds.
+HELD_OUT = 10
+BATCH_BYTES = 8 << 20
+#: Tokens per shard.
+SHARD_TOKENS = 1_000_000
 #: Perplexities are binned by their logarithm for the quantiles: 1 to 32 ** 2 in this many steps.
 BINS = 4096
 #: Up to so many trusted ids are broadcast to the scan; beyond, documents are shuffled to them.
@@ -65,6 +80,15 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(times)], names=["code", "times"])
 
 
+def _less(level: DataFrame):
+    """What is taken from a count c, by the counts of counts."""
+    n = level.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    n1, n2, n3, n4 = (n[f"n{k}"] for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    cut = [y if not (n1 and n2) else min(1.0, max(1e-3, 1 - 2 * y * n2 / n1)), min(2.0, max(1e-3, 2 - 3 * y * n3 / n2)) if n2 and n3 else 0.75, min(3.0, max(1e-3, 3 - 4 * y * n4 / n3)) if n3 and n4 else 1.0]
+    return F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
+
+
 def fit(trusted: DataFrame) -> np.ndarray:
     """log10 probability of each n-gram's last symbol after the others."""
     grams = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_count, "code int, times bigint").groupBy("code").agg(F.sum("times").alias("c"))
@@ -73,11 +97,7 @@ def fit(trusted: DataFrame) -> np.ndarray:
         levels.append(levels[-1].groupBy((F.col("code") % SYMBOLS**order).cast("int").alias("code")).agg(F.count(F.lit(1)).alias("c")))
     log_p = np.full(1, 1 / SYMBOLS)
     for order, level in zip(range(1, ORDER + 1), reversed(levels)):
-        n = level.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-        n1, n2, n3, n4 = (n[f"n{k}"] for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        cut = [y if not (n1 and n2) else min(1.0, max(1e-3, 1 - 2 * y * n2 / n1)), min(2.0, max(1e-3, 2 - 3 * y * n3 / n2)) if n2 and n3 else 0.75, min(3.0, max(1e-3, 3 - 4 * y * n4 / n3)) if n3 and n4 else 1.0]
-        less = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
+        less = _less(level)
         context = F.floor(F.col("code") / SYMBOLS).cast("int")
         totals = level.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(less).alias("lost"))
         joined = level.withColumn("context", context).join(totals, "context").select("code", "context", ((F.col("c") - less) / F.col("total")).alias("own"), (F.col("lost") / F.col("total")).alias("rest"))
@@ -90,6 +110,182 @@ def fit(trusted: DataFrame) -> np.ndarray:
     return np.log10(log_p).astype(np.float32)
 
 
+def _key(*words: np.ndarray) -> np.ndarray:
+    """64-bit hash of an n-gram."""
+    h = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        h = textvec.mix((h + w) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return h
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' words and ends, the word before and the word before that, and each text's number of tokens."""
+    word, doc = textvec.words(texts, "plain")
+    count = np.bincount(doc, minlength=len(texts)) + 1
+    token = np.full(len(word) + len(texts), END, np.uint64)
+    token[np.arange(len(word)) + doc] = word
+    first = np.cumsum(count) - count
+    one, two = np.empty_like(token), np.empty_like(token)
+    one[1:] = token[:-1]
+    one[first] = BOS
+    two[1:] = one[:-1]
+    two[first] = BOS
+    return token, one, two, count
+
+
+def _keys(token: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    """Of each token: its trigram, bigram, word; the contexts of trigram and bigram."""
+    return [_key(two, one, token), _key(one, token), _key(token), _key(two, one), _key(one)]
+
+
+def spelling(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each token's symbols and of the blanks before it, and each text's number of symbols."""
+    code, bounds = codes(texts)
+    cp, _ = textvec.points([x + "\n" for x in texts])  # an end stands where codes has it
+    inside = textvec.look_up(textvec._letters("plain")[1], cp, True)
+    ends = np.sort(np.concatenate([np.flatnonzero(np.diff(inside.astype(np.int8)) == -1) + 1, bounds[1:]]))
+    total = np.concatenate([[0.0], np.cumsum(model[code].astype(np.float64))])
+    return np.diff(total[ends], prepend=0.0), np.diff(bounds)
+
+
+def _trigrams(batches):
+    for batch in batches:
+        for piece in textvec.pieces(batch, limit=BATCH_BYTES):
+            token, one, two, _ = tokens(textvec.strings(piece.column("text")))
+            key = _key(two, one, token)
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+            at = order[first]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (two, one, token)], pa.array(np.diff(np.append(first, len(key))))], names=["w1", "w2", "w3", "times"])
+
+
+#: What a model row tells: the n-gram's own share, or what its context leaves to the shorter n-gram.
+OWN, REST = 0, 1
+
+
+def _keyed(words: list[str], shards: int):
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                key = _key(*[b.column(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words])
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(key, shards)), pa.array(key.view(np.int64)), b.column("what"), b.column("value")], names=["shard", "key", "what", "value"])
+
+    return run
+
+
+def fit_words(trusted: DataFrame, shards: int) -> tuple[DataFrame, float]:
+    """(shard, key, what, value) of the n-grams and contexts seen, and what single words leave to their spelling."""
+    grams = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_trigrams, "w1 bigint, w2 bigint, w3 bigint, times bigint")
+    level = materialize(grams.groupBy("w1", "w2", "w3").agg(F.sum("times").alias("c")), "kn-trigrams")
+    names, parts, rest = ["w1", "w2", "w3"], [], 1.0
+    while names:
+        less = _less(level)
+        if len(names) > 1:
+            totals = materialize(level.groupBy(*names[:-1]).agg(F.sum("c").alias("total"), F.sum(less).alias("lost")), "kn-contexts")
+            parts.append((names[:-1], totals.select(*names[:-1], F.lit(REST).alias("what"), (F.col("lost") / F.col("total")).cast("float").alias("value"))))
+            own = level.join(totals, names[:-1])
+        else:
+            sums = level.agg(F.sum("c").alias("total"), F.sum(less).alias("lost")).first()
+            rest = sums["lost"] / sums["total"] if sums["total"] else 1.0
+            own = level.withColumn("total", F.lit(sums["total"]))
+        parts.append((names, own.select(*names, F.lit(OWN).alias("what"), ((F.col("c") - less) / F.col("total")).cast("float").alias("value"))))
+        names = names[1:]
+        if names:  # distinct left neighbours
+            level = materialize(level.groupBy(*names).agg(F.count(F.lit(1)).alias("c")), "kn-continuations")
+    out = None
+    for words, part in parts:
+        part = part.mapInArrow(_keyed(words, shards), "shard bigint, key bigint, what int, value float")
+        out = part if out is None else out.unionByName(part)
+    return out, rest
+
+
+_REPLY = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("n_own", pa.int64()), ("n_rest", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
+_REPLY_DDL = "batch bigint, shard bigint, n bigint, n_own bigint, n_rest bigint, a binary, b binary, c binary, d binary"
+
+
+def _batches(batches):
+    for batch in batches:
+        for piece in textvec.pieces(batch, limit=BATCH_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(piece)
+            lengths = tokens(textvec.strings(piece.column("text")))[3]
+            yield pa.RecordBatch.from_pylist([{"batch": uuid.uuid4().int >> 65, "shard": -1, "n": int(lengths.sum()), "a": sink.getvalue().to_pybytes()}], _REPLY)
+
+
+def _texts(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+def _ask(shards: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                token, one, two, _ = tokens(textvec.strings(_texts(row["a"]).column("text")))
+                key = textvec.distinct(np.concatenate(_keys(token, one, two)))[0]
+                cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+                yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "shard": s, "n": b - a, "a": pack_sorted(key[a:b])} for s, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if b > a], _REPLY)
+
+    return run
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    key, what, value = model.column("key").to_numpy().view(np.uint64), model.column("what").to_numpy(), model.column("value").to_numpy()
+    sides = []
+    for kind in (OWN, REST):
+        k, v = key[what == kind], value[what == kind]
+        order = np.argsort(k)
+        sides.append((k[order], v[order]))
+    out = []
+    for r in asked.to_pylist():
+        wanted = unpack_sorted(r["a"], r["n"], np.uint64)
+        found = []
+        for k, v in sides:
+            at = np.minimum(np.searchsorted(k, wanted), max(len(k) - 1, 0))
+            hit = np.flatnonzero(k[at] == wanted) if len(k) else np.zeros(0, np.int64)
+            found.append((len(hit), pack_sorted(hit.astype(np.uint32)), pack(v[at[hit]])))
+        (n_own, a, b), (n_rest, c, d) = found
+        out.append({"batch": r["batch"], "shard": r["shard"], "n": r["n"], "n_own": n_own, "n_rest": n_rest, "a": a, "b": b, "c": c, "d": d})
+    return pa.Table.from_pylist(out, _REPLY)
+
+
+def _score(shared, rest_of_words: float):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+        piece, replies = _texts(rows[0]["a"]), rows[1:]
+        texts = textvec.strings(piece.column("text"))
+        token, one, two, count = tokens(texts)
+        keys = _keys(token, one, two)
+        distinct = textvec.distinct(np.concatenate(keys))[0]
+        own, rest, at = np.zeros(len(distinct)), np.ones(len(distinct)), 0
+        for r in replies:  # shards in order have sorted keys
+            own[at + unpack_sorted(r["a"], r["n_own"], np.uint32).astype(np.int64)] = unpack(r["b"], r["n_own"], np.float32)
+            rest[at + unpack_sorted(r["c"], r["n_rest"], np.uint32).astype(np.int64)] = unpack(r["d"], r["n_rest"], np.float32)
+            at += r["n"]
+        three, two_, one_, context, history = [np.searchsorted(distinct, k) for k in keys]
+        spelled, symbols_of = spelling(texts, shared.value)
+        left3, left2 = rest[context], rest[context] * rest[history]
+        with np.errstate(divide="ignore"):
+            log_p = np.logaddexp(np.log(own[three] + left3 * own[two_] + left2 * own[one_]), np.log(left2 * rest_of_words) + spelled * np.log(10))
+        total = np.add.reduceat(log_p, np.cumsum(count) - count)
+        return pa.table({"doc_id": piece.column("doc_id"), "lang": piece.column("lang"), "perplexity": np.maximum(1.0, np.exp(-total / symbols_of))})
+
+    return run
+
+
+def word_perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, lang, perplexity) of docs under the word model of trusted."""
+    spark = docs.sparkSession
+    stored = materialize(docs.select("doc_id", "lang", "text").mapInArrow(_batches, _REPLY_DDL), "kn-batches")
+    shards = max(shuffle_width(spark), -(-(stored.agg(F.sum("n")).first()[0] or 0) // SHARD_TOKENS))
+    shared = spark.sparkContext.broadcast(fit(trusted))  # SYMBOLS ** ORDER floats
+    model, rest = fit_words(trusted, shards)
+    asked = stored.mapInArrow(_ask(shards), _REPLY_DDL)
+    replies = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answer, _REPLY_DDL)
+    schema = docs.select("doc_id", "lang").schema.add("perplexity", "double")
+    return stored.unionByName(replies).groupBy("batch").applyInArrow(_score(shared, rest), schema)
+
+
 def perplexity(docs: DataFrame, model: np.ndarray, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all, if None) and perplexity."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SYMBOLS ** ORDER floats
@@ -128,10 +324,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     ids = materialize(ids, "kn-trusted")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     docs = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    model = fit(docs.select("doc_id", "text").join(near, "doc_id", "left_semi"))
-    scored = materialize(perplexity(docs, model, ["doc_id", "lang"]), "kn-perplexity")
-    cuts = thresholds(scored.join(near, "doc_id", "left_semi"), quantile)
-    cuts = {r["lang"]: r["threshold"] for r in cuts.collect()}  # a number per language
+    held_out = crc_mod(F.col("doc_id"), HELD_OUT) == 0
+    scored = materialize(word_perplexity(docs, docs.select("doc_id", "text").filter(~held_out).join(near, "doc_id", "left_semi")), "kn-perplexity")
+    trusted = scored.join(near, "doc_id", "left_semi")
+    cuts = {r["lang"]: r["threshold"] for r in thresholds(trusted.filter(held_out), quantile).collect()}  # a number per language
+    if not cuts:
+        cuts = {r["lang"]: r["threshold"] for r in thresholds(trusted, quantile).collect()}
     threshold = F.lit(cuts.get("*", float("inf")))
     for lang, value in cuts.items():
         threshold = F.when(F.col("lang") == lang, F.lit(value)).otherwise(threshold)

@@ -440,6 +440,57 @@ def test_perplexity_against_a_plain_model(spark, docs, texts):
         assert got[i] == pytest.approx(want, rel=1e-4)
 
 
+def test_word_model_against_a_plain_one(spark):
+    words = "мама мыла раму кот спал на окне и видел сон".split()
+    trusted = [" ".join(words[(i * k) % len(words)] for i in range(30)) for k in range(1, 8)]
+    texts = [*trusted, "мама мыла кита", "", "сон"]
+    rows = spark.createDataFrame([(i, "ru", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.word_perplexity(rows, rows.filter("doc_id < 7")).collect()}
+    model = quality_lm.fit(rows.filter("doc_id < 7"))
+    top = Counter()
+    for t in trusted:
+        s = ["<", "<", *t.split(), ">"]
+        top.update(tuple(s[i - 2 : i + 1]) for i in range(2, len(s)))
+    levels = {3: top}
+    for m in (2, 1):
+        levels[m] = Counter(g[1:] for g in levels[m + 1])
+    own, total, lost = {}, Counter(), Counter()
+    for m, counts in levels.items():
+        of = Counter(counts.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+        less = [
+            min(1.0, max(1e-3, 1 - 2 * y * of[2] / of[1])) if of[1] and of[2] else y,
+            min(2.0, max(1e-3, 2 - 3 * y * of[3] / of[2])) if of[2] and of[3] else 0.75,
+            min(3.0, max(1e-3, 3 - 4 * y * of[4] / of[3])) if of[3] and of[4] else 1.0,
+        ]
+        for g, c in counts.items():
+            own[g] = c - less[min(c, 3) - 1]
+            total[m, g[:-1]] += c
+            lost[m, g[:-1]] += less[min(c, 3) - 1]
+
+    def p(g, spelled):
+        if not g:
+            return spelled
+        at = (len(g), g[:-1])
+        return (own.get(g, 0) + lost[at] * p(g[1:], spelled)) / total[at] if total[at] else p(g[1:], spelled)
+
+    for i, t in enumerate(texts):
+        spelled, n = quality_lm.spelling([t], model)
+        assert n[0] == len(t) + 1
+        s = ["<", "<", *t.split(), ">"]
+        want = sum(math.log10(p(tuple(s[k : k + 3]), 10.0 ** spelled[k])) for k in range(len(s) - 2))
+        assert got[i] == pytest.approx(10 ** (-want / n[0]), rel=1e-4)
+
+
+def test_shuffled_text_of_another_script_is_less_likely(spark):
+    words = "мама мыла раму котик спит тихо окно и снег идет".split()
+    good = " ".join(words * 5)
+    junk = " ".join("ъщжыь"[: len(w)] if len(w) < 6 else "ъщжыьэ"[: len(w)] for w in words * 5)
+    rows = spark.createDataFrame([(i, "ru", t) for i, t in enumerate([*[good] * 20, junk, " ".join(words[::-1] * 5)])], "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.classify(rows, spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")).collect()}
+    assert got[20] > 1.5 * got[0] and got[21] > 1.2 * got[0]
+
+
 def test_thresholds(spark):
     rows = [("a", float(x)) for x in range(2, 102)] + [("b", 3.0)]
     got = {r["lang"]: r["threshold"] for r in quality_lm.thresholds(spark.createDataFrame(rows, "lang string, perplexity double"), 0.9).collect()}
