@@ -1,17 +1,17 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Encoding repeats, for each chunk of text, the merge whose piece scores highest (leftmost on ties). Each candidate taken from the
-agenda is skipped if a keyed hash (BLAKE2b; key: the seed and the text's variant; of the part and the candidate's place) falls below `dropout` (in steps of 1/256);
-it returns only if a neighbour's merge makes a new candidate. The same seed and id always give the same pieces;
-another seed, or another variant, gives other pieces of the same text. A text's variant (of `variants`) is a hash
-of the seed and its id, so that chunks can be cached per variant. With dropout 0 the result is that of the
-SentencePiece library.
+agenda is skipped if its draw falls below `dropout` (in steps of 1/256); it returns only if a neighbour's merge makes a new candidate.
+Draws are a stream of bytes per text (SHAKE-128 of the seed and the id), three for each character: a part's k-th
+candidate has the k-th draw from the part's place in the text, and a part of n characters never has 3 n. So every
+occurrence of a word has draws of its own. The same seed and id always give the same pieces. What is cached for a part is what
+comes out for given skips, without and with some, whatever the text. With dropout 0 the result is that of the SentencePiece library.
 
 A chunk is a maximal run of blanks and the characters up to the next blank or line break. No piece reaches over a chunk's end; this is
 checked when the vocabulary is loaded. Within a chunk, text is cut where two neighbouring characters stand side by side in no
 piece. Characters without a piece, and U+2581, which stands for the blank, become byte pieces.
 
-Defined results: null and empty texts have no pieces and decode to the empty text; null ids are variant 0's; repeated
+Defined results: null and empty texts have no pieces and decode to the empty text; null ids share the draws of the seed alone; repeated
 rows get the same pieces. Decoding any encoded text gives back the text.
 """
 
@@ -20,8 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
-from hashlib import blake2b
+from hashlib import blake2b, shake_128
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +30,12 @@ from chromaweft.llm import textvec
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 2
 SEED = 20240229
 BLANK = "▁"
-#: Chunks that a worker remembers per variant.
+#: Chunks and parts that a worker remembers.
 CACHED = 400_000
+#: Parts of more characters are merged with an agenda and not remembered.
+LONG = 40
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 
 
@@ -62,52 +62,62 @@ def load_vocabulary(path: str = MODEL) -> dict:
 
 
 class Codec:
-    def __init__(self, vocabulary: dict, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, vocabulary: dict, dropout: float = DROPOUT, seed: int = SEED):
         self.ids, self.scores, self.raw = vocabulary["ids"], vocabulary["scores"], vocabulary["raw"]
         self.byte = [np.uint16(i).tobytes() for i in vocabulary["byte"]]
         self.packed = {p: np.uint16(i).tobytes() for p, i in self.ids.items()}
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.least = round(dropout * 256)
-        self.seed, self.variants = seed, variants
-        self.keys = [f"{seed}:{v}".encode()[:64] for v in range(variants)]
-        self.caches: list[dict] = [{} for _ in range(variants)]
-
-    def variant(self, key) -> int:
-        return zlib.crc32(f"{self.seed}:{key}".encode()) % self.variants if key is not None else 0
-
-    def _merge(self, part: str, variant: int) -> list[str]:
-        """Pieces of a part, none of whose neighbours can be told apart beforehand."""
+        self.seed = seed
+        self.keys = [f"{seed}".encode()[:64]]
+        self.skips = bytes([1] * self.least + [0] * (256 - self.least))
+        self.chunks: dict = {}
+        self.parts: dict = {}
+        self.cached = 0
+
+    def _draws(self, key, n: int) -> bytes:
+        """Three draws for each of a text's n characters."""
+        name = f"{self.seed}" if key is None else f"{self.seed}:{key}"
+        return shake_128(name.encode("utf-8", "surrogatepass")).digest(3 * n)
+
+    def _merge(self, part: str, draws: bytes | int) -> tuple[list[str], int]:
+        """Pieces of a part, none of whose neighbours can be told apart beforehand, and how many candidates were drawn for.
+
+        draws: one per candidate, in the order they are taken; a number stands for the key that draws for the part by itself.
+        """
+        if isinstance(draws, int):
+            draws = blake2b(part.encode("utf-8", "surrogatepass"), key=self.keys[draws]).digest()
         n = len(part)
         if n == 1:
-            return [part]
+            return [part], 0
         scores, least = self.scores, self.least
-        draws = blake2b(part.encode("utf-8", "surrogatepass"), key=self.keys[variant]).digest()
-        if n > 40:
+        if n > LONG:
             return self._merge_long(part, draws)
         symbols, score = list(part), scores.get
-        starts = list(range(n + 1))
+        taken = 0
         rank = [score(part[i : i + 2], -1e30) for i in range(n - 1)]
         while rank:
             best = max(rank)
             if best <= -1e30:
                 break
             i = rank.index(best)
-            if least and draws[(starts[i] * 7 + starts[i + 1] * 13 + starts[i + 2] * 29) & 63] < least:
+            taken += 1
+            if least and draws[taken - 1] < least:
                 rank[i] = -1e30
                 continue
             symbols[i] += symbols.pop(i + 1)
-            del starts[i + 1], rank[i]
+            del rank[i]
             if i:
                 rank[i - 1] = score(symbols[i - 1] + symbols[i], -1e30)
             if i < len(rank):
                 rank[i] = score(symbols[i] + symbols[i + 1], -1e30)
-        return symbols
+        return symbols, taken
 
-    def _merge_long(self, part: str, draws: bytes) -> list[str]:
+    def _merge_long(self, part: str, draws: bytes) -> tuple[list[str], int]:
         n = len(part)
         ends = list(range(1, n + 1))  # of the symbol that starts here; 0 if none does
         before = list(range(-1, n - 1))
-        scores, agenda = self.scores, []
+        scores, least, agenda, taken = self.scores, self.least, [], 0
 
         def offer(a: int) -> None:
             b = ends[a]
@@ -120,7 +130,10 @@ class Codec:
             offer(a)
         while agenda:
             _, a, b, c = heapq.heappop(agenda)
-            if ends[a] != b or ends[b] != c or draws[(a * 7 + b * 13 + c * 29) & 63] < self.least:
+            if ends[a] != b or ends[b] != c:
+                continue
+            taken += 1
+            if least and draws[taken - 1] < least:
                 continue
             ends[a], ends[b] = c, 0
             if c < n:
@@ -132,54 +145,84 @@ class Codec:
         while a < n:
             out.append(part[a : ends[a]])
             a = ends[a]
-        return out
+        return out, taken
+
+    def _pack(self, pieces: list[str]) -> bytes:
+        packed, byte = self.packed, self.byte
+        return b"".join([packed.get(p) or b"".join([byte[x] for x in p.encode()]) for p in pieces])
 
-    def _chunk(self, chunk: str, variant: int) -> bytes:
-        cache, beside = self.caches[variant], self.beside
+    def _node(self, part: str, draws: bytes) -> tuple:
+        """How many candidates are drawn for, the packed pieces, the nodes with one skip more by its place, and the part."""
+        pieces, taken = self._merge(part, draws)
+        self.cached += 1
+        return taken, self._pack(pieces), {}, part
+
+    def _entry(self, chunk: str) -> list[tuple]:
+        """The chunk's parts: place of the first draw, and the node without skips (of a long part the part, if there is dropout)."""
+        beside, parts = self.beside, self.parts
         cuts = [b for b in range(1, len(chunk)) if chunk[b - 1 : b + 1] not in beside]
-        if not cuts:
-            return self._part(chunk, variant)
         out = []
         for a, b in zip([0, *cuts], [*cuts, len(chunk)]):
             part = chunk[a:b]
-            got = cache.get(part)
-            if got is None:
-                got = cache[part] = self._part(part, variant)
-            out.append(got)
-        return b"".join(out)
+            if b - a > LONG:
+                out.append((3 * a, part if self.least else self._node(part, b"")))
+                continue
+            node = parts.get(part)
+            if node is None:
+                node = parts[part] = self._node(part, b"\xff" * (3 * (b - a)))
+            out.append((3 * a, node))
+        if len(chunk) < 64:
+            self.chunks[chunk] = out
+            self.cached += 1
+        return out
 
-    def _part(self, part: str, variant: int) -> bytes:
-        packed, byte = self.packed, self.byte
-        return b"".join([packed.get(p) or b"".join([byte[x] for x in p.encode()]) for p in self._merge(part, variant)])
-
-    def _run(self, text: str, variant: int) -> list[bytes]:
-        cache = self.caches[variant]
-        if len(cache) > CACHED:
-            cache.clear()
-        chunks = _CHUNK.findall(text)
-        out = list(map(cache.get, chunks))
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    c = chunks[i]
-                    x = cache.get(c)
-                    if x is None:
-                        x = self._chunk(c, variant)
-                        if len(c) < 64:
-                            cache[c] = x
-                    out[i] = x
+    def _with_skips(self, node: tuple, at: int, k: int, draws: bytes, skip) -> bytes:
+        """The packed pieces of the part at `at`, whose first skip that node does not have is at k."""
+        while k >= 0:
+            child = node[2].get(k - at)
+            if child is None:
+                part = node[3]
+                child = self._node(part, draws[at : at + 3 * len(part)])
+                if skip(1, k + 1, at + child[0]) < 0:
+                    node[2][k - at] = child
+                return child[1]
+            node = child
+            k = skip(1, k + 1, at + node[0])
+        return node[1]
+
+    def _run(self, text: str, draws: bytes, skip, at: int) -> list[bytes]:
+        """at: place of the first character's draws; skip: finds the draws that skip, if there are any."""
+        if self.cached > CACHED:
+            self.chunks, self.parts, self.cached = {}, {}, 0
+        get, out = self.chunks.get, []
+        add = out.append
+        for chunk in _CHUNK.findall(text):
+            for a, node in get(chunk) or self._entry(chunk):
+                a += at
+                if skip is None:
+                    add(node[1])
+                elif type(node) is str:
+                    add(self._pack(self._merge_long(node, draws[a : a + 3 * len(node)])[0]))
+                elif node[0] and (k := skip(1, a, a + node[0])) >= 0:
+                    add(self._with_skips(node, a, k, draws, skip))
+                else:
+                    add(node[1])
+            at += 3 * len(chunk)
         return out
 
     def encode(self, text: str | None, key=None) -> bytes:
         """Piece ids as little-endian 16-bit numbers."""
         if not text:
             return b""
-        variant = self.variant(key)
+        draws = self._draws(key, len(text) + 1) if self.least else b""
+        skip = draws.translate(self.skips).find if self.least else None
         first, *rest = text.split(BLANK)
-        out = self._run(BLANK + first.replace(" ", BLANK), variant)
+        out = self._run(BLANK + first.replace(" ", BLANK), draws, skip, 0)
+        at = 3 * (len(first) + 1)
         for part in rest:
             out += [self.byte[x] for x in BLANK.encode()]
-            out += self._run(part.replace(" ", BLANK), variant)
+            out += self._run(part.replace(" ", BLANK), draws, skip, at + 3)
+            at += 3 * (len(part) + 1)
         return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
@@ -187,12 +230,12 @@ class Codec:
         return b"".join([raw[i] for i in np.frombuffer(packed, "<u2").tolist()])[1:].decode()
 
 
-def encode_documents(docs: DataFrame, keep: list[str] | None = None, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, pieces: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, keep: list[str] | None = None, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, pieces: bool = True) -> DataFrame:
     """The columns in keep (all, if None), n_pieces, pieces_sha256, lossless and, if wanted, pieces (packed ids)."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     names = list(docs.columns if keep is None else keep)
     extra = ["n_pieces", "pieces_sha256", "lossless"] + ["pieces"] * pieces
-    settings = (dropout, seed, variants)
+    settings = (dropout, seed)
 
     def run(batches):
         codec = _codec(shared, settings)
@@ -230,7 +273,7 @@ def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     names = [c for c in encoded.columns if c != "text"]
 
     def run(batches):
-        codec = _codec(shared, (0.0, 0, 1))
+        codec = _codec(shared, (0.0, 0))
         for batch in batches:
             for piece in textvec.pieces(batch, "pieces", limit=1 << 20):
                 texts = [codec.decode(x or b"") for x in piece.column("pieces").to_pylist()]

@@ -205,6 +205,37 @@ def test_dropout_is_seeded_varied_and_lossless(texts):
         assert one._merge(word, 0) == one._merge_long(word, draws)
 
 
+def test_every_occurrence_has_its_own_dropout():
+    codec = sp_codec.Codec(sp_codec.load_vocabulary())
+    word = "internationalization"
+    alone = len(codec.encode(" " + word, 0)) // 2
+    assert alone >= 2
+    for key in (0, None):
+        packed = codec.encode(" ".join([word] * 400), key)
+        text = [codec.raw[i] for i in np.frombuffer(packed, "<u2")]
+        ways, now = set(), []
+        for piece in text:
+            if piece.startswith(b" ") and now:
+                ways.add(tuple(now))
+                now = []
+            now.append(piece)
+        assert len(ways) > 20
+    assert len({codec.encode(word, i) for i in range(200)}) > 5
+    # remembered nodes or not: as a merge with the draws of the place
+    text = " ".join([word, "entering", "thnterenthsationing"] * 50)
+    draws = codec._draws(3, len(text) + 1)
+    fresh = sp_codec.Codec(sp_codec.load_vocabulary())
+    want, at = b"", 0
+    for chunk in sp_codec._CHUNK.findall(sp_codec.BLANK + text.replace(" ", sp_codec.BLANK)):
+        cuts = [0, *[b for b in range(1, len(chunk)) if chunk[b - 1 : b + 1] not in codec.beside], len(chunk)]
+        for a, b in zip(cuts, cuts[1:]):
+            want += fresh._pack(fresh._merge_long(chunk[a:b], draws[at + 3 * a :])[0])
+        at += 3 * len(chunk)
+    assert codec.encode(text, 3) == want == codec.encode(text, 3)
+    long = "internationalization" * 20  # one part's candidates far apart
+    assert len({codec.encode(long, i) for i in range(20)}) == 20
+
+
 def test_encoding_odd_rows(odd, none):
     encoded = sp_codec.encode_documents(odd, keep=["doc_id"])
     assert encoded.filter("not lossless").count() == 0 and encoded.count() == odd.count()
