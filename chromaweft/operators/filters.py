@@ -80,34 +80,51 @@ def filter_direct(data: Interactions, totals: list[int], prior: float = 2.0, ref
     return data.pairs.select("a1", "a2", abundance(F.col("counts"), totals, prior).alias("abundance")), threshold - float(np.log2(scale))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, span: float, at: np.ndarray | None = None, robust: int = 3) -> np.ndarray:
-    """Cleveland's local linear fit with tricube weights and bisquare re-weighting, on sorted distinct knots joined by lines."""
+def _weighted_median(x: np.ndarray, n: np.ndarray) -> float:
+    """The median of each x repeated n times."""
+    order = np.argsort(x, kind="stable")
+    x, total = x[order], np.cumsum(n[order])
+    low, high = np.searchsorted(total, [total[-1] / 2, total[-1] / 2 + 1e-9 * total[-1]])
+    return (x[min(low, len(x) - 1)] + x[min(high, len(x) - 1)]) / 2
+
+
+def lowess(x: np.ndarray, y: np.ndarray, span: float, at: np.ndarray | None = None, robust: int = 3, n: np.ndarray | None = None) -> np.ndarray:
+    """Cleveland's local linear fit with tricube weights and bisquare re-weighting, on sorted distinct knots joined by lines.
+
+    n: how many points stand behind each; span, fit and median are then over those.
+    """
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
-    n = len(x)
-    k = max(2, int(span * n + 0.5))
+    n = np.ones(len(x)) if n is None else np.asarray(n, float)[order]
+    k = max(2, int(span * n.sum() + 0.5))
     knots = np.unique(x)
     if len(knots) > 400:
         knots = np.unique(np.quantile(x, np.linspace(0, 1, 400)))
-    weight = np.ones(n)
+    near = []
+    for p in knots:
+        d = np.abs(x - p)
+        by = np.argsort(d, kind="stable")
+        h = max(d[by[min(np.searchsorted(np.cumsum(n[by]), k), len(x) - 1)]], 1e-12)
+        if (d < h).sum() < 2 and len(x) > 1:  # one heavy mean fills the span; a line needs its neighbours
+            h = max(h, d[by[min(2, len(x) - 1)]])
+        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3 * n
+        inside = np.flatnonzero(w)
+        near.append((inside, w[inside]))
+    weight = np.ones(len(x))
     fit = np.zeros(len(knots))
     for _ in range(robust + 1):
-        for i, p in enumerate(knots):
-            a = np.searchsorted(x, p)
-            low, high = max(0, a - k), min(n, a + k)
-            d = np.abs(x[low:high] - p)
-            h = max(np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1], 1e-12)
-            w = np.clip(1 - (d / h) ** 3, 0, None) ** 3 * weight[low:high]
+        for i, (p, (inside, tricube)) in enumerate(zip(knots, near)):
+            w = tricube * weight[inside]
             s = w.sum()
             if s <= 0:
-                fit[i] = y[low:high].mean()
+                fit[i] = np.average(y[inside], weights=tricube) if len(inside) else np.interp(p, x, y)
                 continue
-            mx, my = (w * x[low:high]).sum() / s, (w * y[low:high]).sum() / s
-            v = (w * (x[low:high] - mx) ** 2).sum()
-            slope = (w * (x[low:high] - mx) * (y[low:high] - my)).sum() / v if v > 1e-10 * s else 0.0
+            mx, my = (w * x[inside]).sum() / s, (w * y[inside]).sum() / s
+            v = (w * (x[inside] - mx) ** 2).sum()
+            slope = (w * (x[inside] - mx) * (y[inside] - my)).sum() / v if v > 1e-10 * s else 0.0
             fit[i] = my + slope * (p - mx)
         r = np.abs(y - np.interp(x, knots, fit))
-        m = 6 * np.median(r)
+        m = 6 * _weighted_median(r, n)
         if m <= 0:
             break
         weight = np.clip(1 - (r / m) ** 2, 0, None) ** 2
@@ -139,8 +156,8 @@ def trended(data: Interactions, totals: list[int], span: float = 0.25, prior: fl
         return ends.withColumn("trend", F.lit(threshold))
     step = max((span_of["b"] - span_of["a"]) / steps, 1e-9)
     binned = points.groupBy(F.floor((F.col("log_distance") - span_of["a"]) / step).alias("g")).agg(F.avg("log_distance").alias("x"), F.avg("abundance").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("g").collect()
-    x, y = np.array([b["x"] for b in binned]), np.array([b["y"] for b in binned])
-    fit = lowess(x, y, span)
+    x, y, n = (np.array([b[c] for b in binned], float) for c in "xyn")
+    fit = lowess(x, y, span, n=n)
     knots = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in zip(x, fit)])
     return ends.withColumn("trend", F.when(same_chromosome(), interpolate(F.col("log_distance"), knots, len(x))).otherwise(F.lit(threshold)))
 
