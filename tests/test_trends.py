@@ -3,6 +3,8 @@
 import numpy as np
 
 from chromaweft.operators.filters import lowess
+from chromaweft.operators.normalize import copy_number_offsets
+from chromaweft.plans.param import Interactions
 
 
 def _direct(x, y, span, at):
@@ -37,3 +39,25 @@ def test_repeated_points_are_case_weights():
     x, n = np.sort(rng.random(60)), rng.integers(1, 9, 60)
     y = x**2 + 0.05 * rng.standard_normal(60)
     assert np.allclose(lowess(x, y, 0.3, n=n), lowess(np.repeat(x, n), np.repeat(y, n), 0.3, at=x), atol=1e-6)
+
+
+def test_offsets_follow_a_few_amplified_bins_among_many_pairs(spark):
+    """45,150 pairs; one bin in 300 is amplified eight times in the first library."""
+    rng, bins = np.random.default_rng(3), 300
+    gain = np.ones(bins)
+    gain[7] = 8
+    a1, a2 = np.tril_indices(bins)
+    base = 40 * np.exp(0.3 * rng.standard_normal(len(a1)))
+    counts = np.column_stack([rng.poisson(base * gain[a1] * gain[a2]), rng.poisson(base)])
+    pairs = spark.createDataFrame([(int(a), int(b), [int(x) for x in c]) for a, b, c in zip(a1, a2, counts)], "a1 long, a2 long, counts array<long>")
+    depth = [[int(12000 * g), 12000] for g in gain]
+    margins = spark.createDataFrame([(i, c) for i, c in enumerate(depth)], "region_id long, counts array<long>")
+    data = Interactions.__new__(Interactions)
+    object.__setattr__(data, "pairs", pairs)
+    object.__setattr__(data, "libraries", ("u", "v"))
+    totals = [int(x) for x in counts.sum(axis=0)]
+    got = copy_number_offsets(data, margins, totals).toPandas()
+    assert len(got) == len(a1)
+    diff = got["offsets"].map(lambda o: o[0] - o[1])
+    hit = (got["a1"] == 7) ^ (got["a2"] == 7)
+    assert abs((diff[hit].median() - diff[~hit].median()) - np.log(8)) < 0.3
