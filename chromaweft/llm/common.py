@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_path_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner cleans up
             return
 
@@ -54,7 +59,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _path_of[back] = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize wrote, once all that was computed from it is written."""
+    path = _path_of.pop(df)
+    _delete(df.sparkSession, path)
+    _written[:] = [x for x in _written if x[1] != path]
 
 
 def crc_mod(column: Column, modulus: int) -> Column:

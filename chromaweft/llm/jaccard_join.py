@@ -10,8 +10,10 @@ the threshold.
    stars' components hold every candidate pair.
 3. Within a component, pairs are compared by `N_BAYES` further MinHash values, 16 at a time: a pair is dropped as soon as the
    posterior probability (uniform prior) that its similarity reaches the threshold falls below `TOLERANCE`; the rest
-   is verified on the exact sets. Small components are packed into tasks; larger ones are cut into blocks, and every
-   pair of blocks is a task of its own, so that no task holds more than two blocks.
+   is verified on the exact sets. Small components are packed into tasks. Components of more than `BLOCK` nodes or `BLOCK_BYTES` are
+   cut into blocks, one or more for each smallest star of their nodes, and only pairs of blocks that some band holds together are
+   compared, packed into tasks of about `BLOCK_BYTES`: a long chain of similar texts costs tasks in proportion to its nodes, and only a group in which all resemble all costs the
+   square of its blocks, which counting its links needs.
 4. A task returns, per node, its number of links and one edge of a spanning forest: the output grows with the
    nodes however many links there are.
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweft.llm import textvec
-from chromaweft.llm.common import materialize
+from chromaweft.llm.common import discard, materialize
 from chromaweft.llm.graph import connected_components
 
 THRESHOLD = 0.8
@@ -39,12 +41,10 @@ BANDS, ROWS = 30, 6
 N_BAYES = 128
 STEP = 16
 TOLERANCE = 1e-4
-#: Nodes of one block; a task holds two blocks at most.
-BLOCK = 512
-#: Up to so many dropped ids are broadcast to the documents; beyond, the documents are shuffled to them.
-BROADCAST_IDS = 1_000_000
-#: Nodes of small components packed into one task.
-PACKED = 2048
+#: Nodes of one block and about its bytes of shingles and signatures (a single text may have more); a task holds two blocks at most.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Rows of one key are spread over so many tasks in joins.
+SALTS = 8
 
 
 def _sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def _signatures(batches):
             sig = textvec.minima(h, bounds, range(BANDS * ROWS, BANDS * ROWS + N_BAYES))
             blobs = pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
             sigs = pa.array([np.ascontiguousarray(s).tobytes() for s in sig], pa.binary())
-            out = pa.RecordBatch.from_arrays([piece.column("node"), piece.column("component"), piece.column("copies"), piece.column("blocks"), blobs, sigs], names=["node", "component", "copies", "blocks", "shingles", "signature"])
+            out = pa.RecordBatch.from_arrays([piece.column("node"), piece.column("component"), piece.column("centre"), piece.column("copies"), blobs, sigs], names=["node", "component", "centre", "copies", "shingles", "signature"])
             yield out.filter(pa.array(same))
 
 
@@ -177,18 +177,18 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-_TASK = pa.schema([("node", pa.binary()), ("parent", pa.binary()), ("links", pa.int64()), ("blocks", pa.int32())])
+_TASK = pa.schema([("node", pa.binary()), ("parent", pa.binary()), ("links", pa.int64()), ("cut", pa.bool_())])
 
 
 def _verify(threshold: float, tolerance: float):
     def run(table: pa.Table) -> pa.Table:
-        out = {"node": [], "parent": [], "links": [], "blocks": []}
-        rows = table.select(["component", "block", "node", "copies", "blocks", "shingles", "signature"]).to_pydict()
-        order = sorted(range(table.num_rows), key=lambda r: (rows["component"][r], rows["node"][r]))
+        out = {"node": [], "parent": [], "links": [], "cut": []}
+        rows = table.select(["unit", "block", "node", "copies", "cut", "shingles", "signature"]).to_pydict()
+        order = sorted(range(table.num_rows), key=lambda r: (rows["unit"][r], rows["node"][r]))
         at = 0
         while at < len(order):
             to = at
-            while to < len(order) and rows["component"][order[to]] == rows["component"][order[at]]:
+            while to < len(order) and rows["unit"][order[to]] == rows["unit"][order[at]]:
                 to += 1
             mine = order[at:to]
             at = to
@@ -205,69 +205,103 @@ def _verify(threshold: float, tolerance: float):
                 out["node"].append(rows["node"][mine[k]])
                 out["parent"].append(rows["node"][mine[root[k]]])
                 out["links"].append(int(links[k]))
-                out["blocks"].append(rows["blocks"][mine[k]])
+                out["cut"].append(rows["cut"][mine[k]])
         return pa.Table.from_pydict(out, _TASK)
 
     return run
 
 
+def _salt(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _spread(df: DataFrame, name: str) -> DataFrame:
+    """Each row under SALTS numbers, so that the many rows of one key that it is joined to go to as many tasks."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _deal(signed: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of signed with the tasks they belong to: (task, unit, block) besides the rest; see step 3 above."""
+    size = F.octet_length("shingles") + F.octet_length("signature")
+
+    def parts(n, total):
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(total / BLOCK_BYTES)).cast("bigint")
+
+    slim = signed.select("node", "component", "centre", size.alias("size"))
+    whole = slim.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).select("c", parts(F.col("n"), F.col("total")).alias("blocks"))
+    large = slim.join(whole.filter("blocks > 1"), F.col("component") == F.col("c"))
+    keys = large.groupBy(F.col("c").alias("kc"), F.col("centre").alias("kk")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).select("kc", "kk", parts(F.col("n"), F.col("total")).alias("cuts"))
+    block = F.xxhash64("c", "centre", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    blocks = large.join(keys, (F.col("c") == F.col("kc")) & (F.col("centre") == F.col("kk"))).select(F.col("node").alias("bn"), "size", block.alias("block"))
+    blocks = materialize(blocks, "jaccard-blocks")
+    # blocks that some band holds together
+    held = members.join(blocks, F.col("node") == F.col("bn")).select("band", "block").distinct()
+    pairs = held.select("band", F.col("block").alias("x")).join(held.select(F.col("band").alias("other"), F.col("block").alias("y")), (F.col("band") == F.col("other")) & (F.col("x") <= F.col("y"))).select("x", "y").distinct()
+    pairs = materialize(pairs, "jaccard-block-pairs")
+    wanted = pairs.select(F.col("x").alias("b"), "x", "y").union(pairs.filter("x < y").select(F.col("y").alias("b"), "x", "y"))
+    units = blocks.join(wanted, F.col("block") == F.col("b")).select("bn", "size", "block", F.xxhash64("x", "y").alias("unit"))
+
+    def task(unit, total):  # units are packed into tasks of about BLOCK_BYTES
+        return F.pmod(F.xxhash64(unit), F.lit(max(1, (total or 0) // BLOCK_BYTES)))
+
+    shape = ["node", "copies", "shingles", "signature", "cut", "block", "unit", "task"]
+    cut = signed.join(units.drop("size"), F.col("node") == F.col("bn")).withColumn("cut", F.lit(True)).withColumn("task", -1 - task("unit", units.agg(F.sum("size")).first()[0]))
+    small = signed.join(whole.filter("blocks = 1"), F.col("component") == F.col("c")).withColumn("unit", F.xxhash64("component"))
+    small = small.withColumn("task", task("unit", slim.agg(F.sum("size")).first()[0])).withColumn("cut", F.lit(False)).withColumn("block", F.lit(0).cast("bigint"))
+    return small.select(*shape).unionByName(cut.select(*shape))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, class_id, n_links), one row per row of docs."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     nodes = materialize(docs.select("doc_id", "text").mapInArrow(_nodes, f"doc_id {id_type}, node binary, bands array<bigint>"), "jaccard-nodes")
     known = nodes.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
-    reps = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows"), F.min("bands").alias("bands"))
+    reps = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("bands").alias("bands"))
     reps = materialize(reps, "jaccard-reps")
     # ids of copies counted once each, should rows repeat
     repeated = known.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("node").agg(F.sum(F.col("n") - 1).alias("surplus"))
     copies = reps.select("node", "rep", "rows").join(repeated, "node", "left").select("node", "rep", (F.col("rows") - F.coalesce("surplus", F.lit(0))).alias("copies"))
     copies = materialize(copies, "jaccard-copies")
 
-    rows = reps.select("node", F.explode("bands").alias("band"))
-    stars = rows.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").alias("b"), "centre")
-    edges = rows.join(stars, F.col("band") == F.col("b")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    candidates = connected_components(edges)
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    candidates = candidates.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).select("node", "component", blocks.alias("blocks"))
-    candidates = candidates.join(copies, "node")
-    wanted = docs.select(F.col("doc_id").alias("d"), "text").join(candidates, F.col("d") == F.col("rep"))
-    wanted = wanted.select("text", "node", "component", "copies", "blocks")
-    signed = wanted.mapInArrow(_signatures, "node binary, component binary, copies bigint, blocks int, shingles binary, signature binary").dropDuplicates(["node"])
+    rows = reps.select("node", F.explode("bands").alias("band"), _salt("node").alias("salt"))
+    stars = rows.groupBy(F.col("band").alias("b")).agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = rows.join(_spread(stars, "s"), (F.col("band") == F.col("b")) & (F.col("salt") == F.col("s"))).select("band", "node", "centre")
+    members = materialize(members, "jaccard-members")
+    discard(reps)
+    candidates = connected_components(members.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    first = members.groupBy(F.col("node").alias("member")).agg(F.min("centre").alias("centre"))
+    candidates = candidates.join(first, F.col("node") == F.col("member")).drop("member").join(copies, "node")
+    # texts move at most once here, whatever the number of candidates
+    wanted = docs.select(F.col("doc_id").alias("d"), "text").join(candidates.hint("merge"), F.col("d") == F.col("rep"))
+    wanted = wanted.select("text", "node", "component", "centre", "copies")
+    signed = wanted.mapInArrow(_signatures, "node binary, component binary, centre binary, copies bigint, shingles binary, signature binary").dropDuplicates(["node"])
     signed = materialize(signed, "jaccard-signed")
-    tasks = max(1, signed.count() // PACKED)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = signed.withColumn("block", own).withColumn("other", other)
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
-    single = F.col("blocks") > 1  # the pair of a block with itself has that block only
-    dealt = dealt.withColumn("task", task).withColumn("component", F.when(single, F.concat("component", F.encode(F.concat_ws(":", F.least("block", "other"), F.greatest("block", "other")), "UTF-8"))).otherwise(F.col("component")))
-    found = dealt.groupBy("task").applyInArrow(_verify(threshold, tolerance), "node binary, parent binary, links bigint, blocks int")
+    found = _deal(signed, members).groupBy("task").applyInArrow(_verify(threshold, tolerance), "node binary, parent binary, links bigint, cut boolean")
     found = materialize(found, "jaccard-links")
+    discard(signed)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    whole = found.filter("blocks = 1").select("node", F.col("parent").alias("root"))
-    cut = found.filter("blocks > 1")
-    if cut.take(1):
-        merged = connected_components(cut.select(F.col("node").alias("a"), F.col("parent").alias("b")))
-        whole = whole.union(merged.select("node", F.col("component").alias("root")))
+    whole = found.filter("not cut").select("node", F.col("parent").alias("root"))
+    merged = connected_components(found.filter("cut").select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    whole = whole.union(merged.select("node", F.col("component").alias("root")))
     linked = whole.join(copies.select("node", "rep"), "node").select("node", "root", "rep")
-    lowest = linked.groupBy("root").agg(F.min("rep").alias("lowest")).withColumnRenamed("root", "r")
-    linked = linked.join(lowest, F.col("root") == F.col("r")).join(links, "node").select("node", "lowest", "links")
+    lowest = linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("lowest"))
+    linked = linked.withColumn("salt", _salt("node")).join(_spread(lowest, "s"), (F.col("root") == F.col("r")) & (F.col("salt") == F.col("s"))).join(links, "node").select("node", "lowest", "links")
     # what documents need to know: of nodes with copies or links only
     facts = copies.filter("copies > 1").select("node", "rep", "copies").join(linked, "node", "full").join(copies.select(F.col("node").alias("n2"), F.col("rep").alias("own_rep"), F.col("copies").alias("own_copies")), F.col("node") == F.col("n2"))
     facts = facts.select(F.col("n2").alias("fact"), F.coalesce("lowest", "own_rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("own_copies") - 1).alias("n"))
     facts = materialize(facts, "jaccard-facts")
-    joined = nodes.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(facts, F.col("node") == F.col("fact"), "left")
+    discard(members)
+    slim = nodes.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), _salt("doc_id").alias("salt"))
+    joined = slim.join(_spread(facts, "s"), (F.col("node") == F.col("fact")) & (F.col("salt") == F.col("s")), "left")
     return joined.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class: that with the smallest id. Rows without an id stay."""
+    """One document of each class: that with the smallest id. Rows without an id stay; of rows with equal id and text one stays."""
     found = materialize(classes(docs, threshold), "jaccard-classes")
-    gone = materialize(found.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "jaccard-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    # always by shuffle: the dropped ids grow with the corpus
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     repeats = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeats.take(1):  # the same id in several rows: one of each id and text stays
         first = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
