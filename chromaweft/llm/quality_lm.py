@@ -45,8 +45,6 @@ BATCH_BYTES = 8 << 20
 SHARD_TOKENS = 1_000_000
 #: Perplexities are binned by their logarithm for the quantiles: 1 to 32 ** 2 in this many steps.
 BINS = 4096
-#: Up to so many trusted ids are broadcast to the scan; beyond, documents are shuffled to them.
-BROADCAST_IDS = 1_000_000
 
 
 @lru_cache(1)
@@ -321,12 +319,11 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept), one row per row of docs."""
     ids = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q")).filter("q = 1").select("doc_id")
-    ids = materialize(ids, "kn-trusted")
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = materialize(ids, "kn-trusted").hint("merge")  # trusted ids grow with the corpus: always joined by shuffle
     docs = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
     held_out = crc_mod(F.col("doc_id"), HELD_OUT) == 0
-    scored = materialize(word_perplexity(docs, docs.select("doc_id", "text").filter(~held_out).join(near, "doc_id", "left_semi")), "kn-perplexity")
-    trusted = scored.join(near, "doc_id", "left_semi")
+    scored = materialize(word_perplexity(docs, docs.select("doc_id", "text").filter(~held_out).join(ids, "doc_id", "left_semi")), "kn-perplexity")
+    trusted = scored.join(ids, "doc_id", "left_semi")
     cuts = {r["lang"]: r["threshold"] for r in thresholds(trusted.filter(held_out), quantile).collect()}  # a number per language
     if not cuts:
         cuts = {r["lang"]: r["threshold"] for r in thresholds(trusted, quantile).collect()}
