@@ -1,23 +1,28 @@
 """Secret scan: fixed patterns, widened by a linear-chain conditional random field.
 
 Patterns give the base spans (kinds assign, access, hex). The field tags tokens as begin, inside or outside of a
-secret from their shape, their neighbours' shapes, nearby cue words and assignment signs, and features of the
-whole text; its decoded spans that touch no base span are added with kind `crf`. Positions are code points, ends
-exclusive.
+secret from their shape, how often they switch between small letters, capitals and digits, their neighbours' shapes, nearby cue words and
+assignment signs, and features of the whole text; its decoded spans that touch no base span are added with kind `crf`. Positions are
+code points, ends exclusive.
 
 The field is trained on a bounded sample: the texts of about `SAMPLE` documents chosen by a hash of the id, tagged by the base patterns,
-and a fixed number of made-up lines, so that it learns all three kinds from any corpus. Decoding is exact Viterbi.
+and `MADE_UP` made-up lines with labels of their own: secrets of families that the patterns do not know (bearer and prefixed tokens, signed
+tokens, passwords in addresses, random keys behind words or arrows), and look-alikes that are none (UUIDs, short revisions, dates,
+numbers, addresses, paths, identifiers, ordinary words behind cue words). Decoding is exact Viterbi.
 A token whose outside score leads by more than twice the range of the transitions is outside on the best path,
-whatever its neighbours; the chain is cut there, and only the rest is decoded step by step.
+whatever its neighbours; the chain is cut there, and only the rest is decoded step by step. Of equal scores the tag that comes first
+(outside, begin, inside) is taken.
 
 Defined results: null and empty texts have no spans (the digest is that of the empty string); repeated rows give
-repeated results; ids may be null; texts of any length are read whole.
+repeated results; ids may be null; texts of any length are read whole; a column named spans is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,12 @@ KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CUE = re.compile("|".join(CUES))
-#: Bound on the training sample: documents, and windows around tagged tokens of each (and two windows elsewhere).
-SAMPLE = 2000
+#: Words that the field looks for; the patterns' are among them.
+CUE = re.compile("pass(?:word|wd|phrase)|pwd|secret|token|api_?key|bearer|credential|private_?key|access_?key", re.IGNORECASE | re.ASCII)
+#: Bound on the training sample: documents, and windows around tagged tokens of each (and two windows elsewhere); made-up lines.
+SAMPLE = 1000
 TAGGED = 4
-MADE_UP = 300
+MADE_UP = 2400
 LENGTH = 32
 OUT, BEGIN, INSIDE = 0, 1, 2
 
@@ -47,7 +53,8 @@ _QUOTE, _ASSIGN, _OTHER, _EDGE = (_N_LENGTHS * 32 + i for i in range(4))
 N_SHAPES = _EDGE + 1
 N_CUES = 6  # distance to the last cue word, 5 for none near
 N_FILE = 6
-_OFFSETS = np.cumsum([0, N_SHAPES, N_SHAPES, N_SHAPES, N_CUES, 2, N_FILE, N_SHAPES * 2])
+N_SWITCHES = _N_LENGTHS * 6
+_OFFSETS = np.cumsum([0, N_SHAPES, N_SHAPES, N_SHAPES, N_CUES, 2, N_FILE, N_SHAPES * 2, N_SWITCHES, N_SWITCHES * 4, N_SHAPES])
 N_FEATURES = int(_OFFSETS[-1])
 
 
@@ -96,12 +103,15 @@ class Tokens:
         self.end = np.append(change[1:], len(cp))
         solid = kind[change] != _SPACE
         both = np.bitwise_or.reduceat(flag, change) if len(change) else np.zeros(0, np.uint8)
+        case = flag & (_DIGIT | _LOWER | _UPPER)
+        switch = np.concatenate([[0], np.cumsum((case[1:] != case[:-1]) & (case[1:] > 0) & (case[:-1] > 0), dtype=np.int64)]) if len(cp) else np.zeros(1, np.int64)
         digits = np.concatenate([[0], np.cumsum((flag & _DIGIT) != 0, dtype=np.int64)])
         self.start, self.end, both = change[solid], self.end[solid], both[solid].astype(np.int64)
         n = len(self.start)
         self.doc = np.searchsorted(bounds, self.start, side="right") - 1
         length = np.searchsorted(np.array([4, 8, 12, 16, 24, 32]), self.end - self.start, side="right")
         shape = length * 32 + both
+        turns = np.searchsorted(np.array([1, 2, 4, 7, 11]), switch[self.end - 1] - switch[self.start], side="right") + 6 * length if n else np.zeros(0, np.int64)
         symbol = kind[self.start] == _SYMBOL
         first = cp[self.start[symbol]]
         shape[symbol] = np.where((first == 34) | (first == 39), _QUOTE, np.where((first == 58) | (first == 61), _ASSIGN, _OTHER))
@@ -110,11 +120,8 @@ class Tokens:
         self.begins = begins
         before = np.where(begins, _EDGE, np.roll(shape, 1))
         after = np.where(np.roll(begins, -1), _EDGE, np.roll(shape, -1))
-        cue_at = []
-        for t, text in enumerate(texts):
-            low = text.lower()
-            if len(low) == len(text) and any(c in low for c in CUES):
-                cue_at += [bounds[t] + m.start() for m in CUE.finditer(low)]
+        second = np.where(begins | np.roll(begins, 1), _EDGE, np.roll(shape, 2))
+        cue_at = [bounds[t] + m.start() for t, text in enumerate(texts) for m in CUE.finditer(text)]
         cue = np.zeros(n, bool)
         if cue_at:
             cue[np.searchsorted(self.start, cue_at, side="right") - 1] = True
@@ -129,7 +136,7 @@ class Tokens:
         has_cue = np.zeros(len(texts), bool)
         has_cue[self.doc[cue]] = True
         file = np.searchsorted(np.array([0.01, 0.1]), share) + 3 * has_cue
-        columns = [shape, before, after, near, assigned, file[self.doc], shape * 2 + ((near > 0) & (near < N_CUES - 1))]
+        columns = [shape, before, after, near, assigned, file[self.doc], shape * 2 + ((near > 0) & (near < N_CUES - 1)), turns, turns * 4 + 2 * ((near > 0) & (near < N_CUES - 1)) + assigned, second]
         self.columns = [c + o for c, o in zip(columns, _OFFSETS)]
         inside = textvec.look_up(is_hex, cp, False)
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
@@ -154,7 +161,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(features: np.ndarray, tags: np.ndarray, steps: int = 90, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(features: np.ndarray, tags: np.ndarray, steps: int = 70, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions by maximum likelihood. features: sequences x LENGTH x templates; tags -1 beyond the end."""
     n, length, _ = features.shape
     real = tags >= 0
@@ -237,42 +244,92 @@ def scan(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[list[tu
         fresh[1:] = (hit[1:] != hit[:-1] + 1) | (tags[hit[1:]] == BEGIN) | tokens.begins[hit[1:]]
         first = np.flatnonzero(fresh)
         last = np.append(first[1:], len(hit)) - 1
+        reach: dict[int, tuple[list, list]] = {}  # starts of a text's base spans, and how far those up to each one go
         for a, b in zip(hit[first].tolist(), hit[last].tolist()):
             d = int(tokens.doc[a])
             start, end = int(tokens.start[a] - tokens.bounds[d]), int(tokens.end[b] - tokens.bounds[d])
-            if not any(s < end and start < e for s, _, e in out[d]):
+            if d not in reach:
+                reach[d] = [x for x, _, _ in out[d]], list(accumulate((e for _, _, e in out[d]), max))
+            starts, ends = reach[d]
+            before = bisect_left(starts, end)
+            if not before or ends[before - 1] <= start:
                 out[d].append((start, 3, end))
     return [sorted(x) for x in out]
 
 
-def _made_up(rng: np.random.Generator) -> list[str]:
-    """Lines with secrets of each kind, and with look-alikes that are none."""
-    def pick(alphabet: str, n: int) -> str:
-        return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
-
-    lower, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
-    out = []
+def _made_up(rng: np.random.Generator) -> tuple[list[str], list[list[tuple[int, int]]]]:
+    """Lines, and the spans of the secrets in them. About half of the lines hold look-alikes only."""
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    upper, both = lower.upper(), lower + lower.upper() + digits
+
+    def pick(alphabet: str, low: int, high: int) -> str:
+        return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(low, high + 1))))
+
+    def one(*options):
+        return options[int(rng.integers(0, len(options)))]
+
+    def word() -> str:
+        return "".join(one("b", "st", "n", "r", "l", "m", "th", "k", "d", "w", "") + one("a", "e", "i", "o", "u", "en", "er", "an") for _ in range(int(rng.integers(1, 5))))
+
+    def random() -> str:  # what a generator of keys makes
+        return one(pick(both, 16, 64), pick(both, 20, 44), pick(lower + digits, 16, 48), pick(both + "+/", 20, 64), pick(both + "-_", 20, 64), pick(upper + digits, 16, 32), pick(digits + "abcdef", 16, 64))
+
+    def cue() -> str:
+        name = one("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "private_key", "access_key", "credential", "client_secret")
+        return one(name, name, name.upper(), name.title(), f"{word()}_{name}")
+
+    def quoted(x: str) -> str:
+        return one(x, x, f'"{x}"', f"'{x}'")
+
+    secrets = [
+        lambda: (lambda v: (f"{cue()}{one(' = ', '=', ': ', ':', ' -> ', ' => ', ' is ', ' ')}{quoted(v)}", v))(random()),
+        lambda: (lambda v: (f"{one('', 'Authorization: ', 'authorization=')}{one('Bearer', 'bearer')} {v}", v))(one(pick(both, 20, 120), pick(both + "-_", 24, 120))),
+        lambda: (lambda v: (quoted(v), v))(pick(lower, 2, 5) + one("_", "-", "_live_", "_test_") + pick(both, 20, 48)),
+        lambda: (lambda v: (quoted(v), v))("eyJ" + pick(both + "-_", 15, 40) + "." + pick(both + "-_", 30, 90) + "." + pick(both + "-_", 30, 60)),
+        lambda: (lambda v: (f"{one('postgres', 'mysql', 'https', 'redis', 'ftp')}://{word()}:{v}@{word()}.{one('com', 'org', 'local')}", v))(pick(both, 10, 24)),
+        lambda: (lambda v: (f"{word()}{one(' = ', '=', ': ')}{quoted(v)}", v))(random() + random()[:12]),
+        lambda: (lambda v: (quoted(v), v))(one(pick(both, 32, 64), pick(both + "+/", 40, 88) + one("", "=", "=="))),
+        lambda: (lambda v: (v, v))(one("AKIA" + pick(upper + digits, 16, 16), pick(digits + "abcdef", 24, 64))),
+    ]
+    hexa = digits + "abcdef"
+    harmless = [
+        lambda: "-".join(pick(one(hexa, hexa.upper()), n, n) for n in (8, 4, 4, 4, 12)) if rng.random() < 0.7 else pick(hexa, 7, 12),
+        lambda: one(f"20{pick(digits, 2, 2)}-{pick(digits, 2, 2)}-{pick(digits, 2, 2)}", f"{pick(digits, 1, 2)}.{pick(digits, 1, 2)}.{pick(digits, 1, 4)}", f"{pick(digits, 1, 3)}.{pick(digits, 1, 3)}.{pick(digits, 1, 3)}.{pick(digits, 1, 3)}"),
+        lambda: one(pick(digits, 3, 20), f"+{pick(digits, 2, 2)} {pick(digits, 3, 4)} {pick(digits, 6, 8)}", f"{pick(digits, 3, 4)}-{pick(digits, 4, 6)}", pick(upper, 2, 2) + pick(digits, 14, 20), f"{pick(digits, 4, 4)} {pick(digits, 4, 4)} {pick(digits, 4, 4)} {pick(digits, 4, 4)}"),
+        lambda: one(f"{word()}.{word()}@{word()}.com", f"{word()}{pick(digits, 1, 4)}@{word()}{pick(digits, 0, 3)}.{word()}.org"),
+        lambda: f"{one('https', 'http')}://{word()}.{one('com', 'org')}/" + "/".join(one(word(), f"{word()}-{word()}-{word()}", pick(digits, 2, 8), f"{word()}.html", f"{word()}{pick(digits, 1, 3)}") for _ in range(int(rng.integers(1, 6)))),
+        lambda: "/" + "/".join(word() for _ in range(int(rng.integers(2, 7)))) + one("", ".py", ".txt"),
+        lambda: one("_".join(word() for _ in range(int(rng.integers(2, 6)))), "_".join(word().upper() for _ in range(int(rng.integers(2, 6)))), "".join(word().title() for _ in range(int(rng.integers(2, 6)))), word() + "".join(word().title() for _ in range(int(rng.integers(1, 5)))), "-".join(word() for _ in range(int(rng.integers(3, 8))))),
+        lambda: "".join(word() for _ in range(int(rng.integers(3, 9)))),
+        lambda: f"{cue()}{one(' = ', ': ', ' is ', ' ', ', ', '. ')}{one(word(), 'required', 'string', 'None', 'null', 'true', word() + ' ' + word(), 'os.environ', '<' + word() + '>', '***')}",
+        lambda: f"{one('the', 'a', 'my')} {cue()} {one('of', 'for', 'ring', 'reset', 'was')} {word()}",
+        lambda: f"{word()}{one('=', ': ', ' = ')}{one(word(), pick(digits, 1, 10), quoted(word()), 'true')}",
+        lambda: one(f"{pick(digits, 1, 4)}{one('px', 'kg', 'ms', 'GB', 'th')}", f"{pick(upper, 2, 4)}-{pick(digits, 2, 6)}", f"{pick(upper, 1, 3)}{pick(digits, 2, 5)}{pick(upper, 0, 2)}", f"v{pick(digits, 1, 2)}.{pick(digits, 1, 2)}", "#" + pick(hexa, 6, 6)),
+    ]
+    texts, spans = [], []
     for i in range(MADE_UP):
-        words = [pick(lower, int(rng.integers(2, 10))) for _ in range(10)]
-        what = i % 6
-        if what == 0:
-            words[5] = f'{CUES[i % len(CUES)]} = "{pick(lower + digits + lower.upper(), int(rng.integers(8, 40)))}"'
-        elif what == 1:
-            words[5] = f"{CUES[i % len(CUES)]}: {pick(hexa, int(rng.integers(24, 64)))}"
-        elif what == 2:
-            words[5] = "AKIA" + pick(lower.upper() + digits, 16)
-        elif what == 3:
-            words[5] = pick(hexa, int(rng.integers(24, 64)))
-        elif what == 4:
-            words[5] = pick(digits, int(rng.integers(3, 13)))
+        words = [one(word(), word(), word(), word() + one(",", ".", ":"), word().title()) for _ in range(int(rng.integers(4, 24)))]
+        at = int(rng.integers(0, len(words) + 1))
+        head = " ".join(words[:at]) + one(" ", " ", "\n") if at else ""
+        tail = one(" ", " ", "\n", ". ", ", ") + " ".join(words[at:])
+        if i % 2:
+            texts.append(head + harmless[i // 2 % len(harmless)]() + tail)
+            spans.append([])
         else:
-            words[5] = f"{CUES[i % len(CUES)]} {words[5]}"
-        out.append(" ".join(words))
-    return out
+            shown, value = secrets[i // 2 % len(secrets)]()
+            start = len(head) + shown.rindex(value)
+            texts.append(head + shown + tail)
+            spans.append([(start, start + len(value))])
+    return texts, spans
+
+
+def _base_values(text: str, hex_runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the field is to learn of the base spans: of assignments the value only."""
+    return [(ASSIGN.match(text, a).start(2) if k == 0 else a, b) for a, k, b in base_spans(text, hex_runs)]
 
 
-def _sequences(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of LENGTH tokens around tagged tokens, and some elsewhere; a bounded number of each text."""
+def _sequences(texts: list[str], spans: list[list[tuple[int, int]]] | None, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of LENGTH tokens around tagged tokens, and some elsewhere; a bounded number of each text. Without spans, those of the patterns."""
     feats, tags = [], []
     for i in range(0, len(texts), 500):
         part = texts[i : i + 500]
@@ -282,9 +339,7 @@ def _sequences(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray,
             continue
         tag = np.zeros(n, np.int8)
         for d, text in enumerate(part):
-            for start, kind, end in base_spans(text, tokens.hex_runs.get(d, [])):
-                if kind == 0:
-                    start = ASSIGN.match(text, start).start(2)
+            for start, end in _base_values(text, tokens.hex_runs.get(d, [])) if spans is None else spans[i + d]:
                 a, b = np.searchsorted(tokens.end, start + tokens.bounds[d], side="right"), np.searchsorted(tokens.start, end + tokens.bounds[d])
                 if b > a:
                     tag[a:b] = INSIDE
@@ -296,6 +351,8 @@ def _sequences(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray,
         begin = np.flatnonzero(tag == BEGIN)
         nth = np.arange(len(begin)) - np.searchsorted(tokens.doc[begin], tokens.doc[begin])
         middles = np.concatenate([begin[nth < TAGGED], odd[np.unique(tokens.doc[odd], return_index=True)[1]], order[np.unique(tokens.doc[order], return_index=True)[1]]])
+        if spans is not None:  # short lines: one window of each
+            middles = middles[np.unique(tokens.doc[middles], return_index=True)[1]]
         for m in middles.tolist():
             low, high = np.searchsorted(tokens.doc, [tokens.doc[m], tokens.doc[m] + 1])
             a = max(int(low), m - int(rng.integers(4, LENGTH - 4)))
@@ -315,12 +372,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[np.ndarra
     def windows(batches):
         for batch in batches:
             for piece in textvec.pieces(batch):
-                f, t = _sequences(textvec.strings(piece.column("text")), np.random.default_rng(seed))
+                f, t = _sequences(textvec.strings(piece.column("text")), None, np.random.default_rng(seed))
                 if len(f):
                     yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int16).tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in t], pa.binary())], names=["features", "tags"])
 
     got = materialize(chosen.mapInArrow(windows, "features binary, tags binary"), "secret-windows").orderBy("features", "tags").toArrow()
-    f, t = _sequences(_made_up(np.random.default_rng(seed)), np.random.default_rng(seed))
+    f, t = _sequences(*_made_up(np.random.default_rng(seed)), np.random.default_rng(seed))
     if got.num_rows:
         f2 = np.frombuffer(b"".join(got.column("features").to_pylist()), np.int16).reshape(got.num_rows, LENGTH, -1)
         t2 = np.frombuffer(b"".join(got.column("tags").to_pylist()), np.int8).reshape(got.num_rows, LENGTH)
@@ -331,7 +388,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[np.ndarra
 def find_secrets(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all, if None), base_spans and spans (arrays of kind, start, end)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
-    names = list(docs.columns if keep is None else keep)
+    names = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -359,9 +416,8 @@ def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], mark: str = "[
                 cuts[-1][1] = max(b, cuts[-1][1])
             else:
                 cuts.append([a, b])
-        for a, b in reversed(cuts):
-            text = text[:a] + mark + text[b:]
-        return text
+        kept = [text[a:b] for a, b in zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(text)])]
+        return mark.join(kept)
 
     def run(batches):
         for batch in batches:
