@@ -7,7 +7,8 @@ languages, and calibrated by one temperature on every fifth of them.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is everything if there is no
 labelled document; null languages are not learned; an empty language name is a name as any other; with one
-language every text with letters is of it, with score 1.
+language every text with letters is of it, with score 1; ids may be of any type; repeated rows get repeated results; of equal scores the
+language that comes first by name is taken; columns named lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -79,7 +80,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, epochs: int = 3) -> dict:
     if not langs:
         return {"langs": [], "weights": np.zeros(((1 << BITS) + 1, 1), np.float32), "bias": np.zeros(1)}
     sample = materialize(stratified_sample(known.select("doc_id", "lang", "text"), "lang", "doc_id", max(1, max_rows // len(langs))), "lang-sample")
-    table = sample.mapInArrow(_counts, "doc_id bigint, lang string, bucket binary, count binary").toArrow().to_pandas().sort_values(["doc_id", "lang"], kind="stable")
+    id_type = sample.schema["doc_id"].dataType.simpleString()
+    table = sample.mapInArrow(_counts, f"doc_id {id_type}, lang string, bucket binary, count binary").toArrow().to_pandas().sort_values(["doc_id", "lang"], kind="stable")
     buckets = [np.frombuffer(x, np.int32) for x in table["bucket"]]
     counts = [np.frombuffer(x, np.float32) for x in table["count"]]
     y = np.searchsorted(np.array(langs, object), table["lang"].to_numpy(object))

@@ -4,11 +4,14 @@ Features are the distinct 3- to 6-character n-grams of the folded text (hashed t
 density (occurrences per DENSITY characters, 3 at most), each scaled by the log ratio of the n-gram's smoothed document
 frequencies in toxic and other texts. A logistic regression on
 the scaled features is trained on a bounded sample (`per_class` documents of each label, chosen by a hash of
-the id); the frequencies come from the same sample. The model is two tables of 2 ** BITS floats, whatever the corpus.
+the id); the frequencies come from the same sample. The model is two tables of 2 ** BITS floats, whatever the corpus. Penalty,
+number of features and least frequency were chosen by cross-validation within the folds that are learned from. Of equally strong
+features those with the smaller buckets are taken.
 
 Defined results: null text scores as empty text, that is by the intercept; null ids are held out of
 training and held_out is null; labels that disagree count as toxic; labels of unknown documents are ignored;
-without labels every score is the smoothed rate 0.25, without one of the classes a constant below or above 0.5.
+without labels every score is the smoothed rate 0.25, without one of the classes a constant below or above 0.5; ids may be of any
+type; repeated rows get repeated scores; a column named toxicity is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ BITS = 20
 ORDERS = (3, 4, 5, 6)
 #: Bound on the training sample: documents of each label.
 PER_CLASS = 4000
-MAX_FEATURES = 1 << 14
+MAX_FEATURES = 1 << 12
 DENSITY = 300.0
 FOLDS = 5
 
@@ -95,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     if not n_pos or not n_neg:
         rate = (n_pos + 0.5) / (n_pos + n_neg + 2)
         return present, dense, float(np.log(rate / (1 - rate)))
-    least = max(2, min(8, n_pos // 10), int(1e-3 * (n_pos + n_neg)))
+    least = max(2, min(4, n_pos // 10), int(1e-3 * (n_pos + n_neg)))
     counts = sample.mapInArrow(_frequencies, "bucket int, pos bigint, neg bigint").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # at most 2 ** BITS rows of three numbers
     counts = counts.filter(F.col("pos") + F.col("neg") >= least).toArrow().to_pandas()
@@ -110,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     mask[bucket] = True
     place = np.zeros((1 << BITS) + 1, np.int32)
     place[bucket] = np.arange(len(bucket))
-    rows = sample.mapInArrow(_rows(mask), "doc_id bigint, toxic int, features binary, density binary").toArrow().to_pandas().sort_values(["doc_id", "toxic"], kind="stable")
+    id_type = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(_rows(mask), f"doc_id {id_type}, toxic int, features binary, density binary").toArrow().to_pandas().sort_values(["doc_id", "toxic"], kind="stable")
     parts = [place[np.frombuffer(x, np.int32)] for x in rows["features"]]
     density = np.concatenate([np.frombuffer(x, np.float32) for x in rows["density"]])
     w, b = _logistic(parts, density, (rows["toxic"] == 1).to_numpy(np.float64), ratio)
@@ -118,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     return present, dense, b
 
 
-def _logistic(parts: list[np.ndarray], density: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 0.1, steps: int = 150) -> tuple[np.ndarray, float]:
+def _logistic(parts: list[np.ndarray], density: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 0.03, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights of the scaled presences, then of the scaled densities, by Adam on the whole sample; classes weigh alike."""
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     col = np.concatenate(parts) if parts else np.zeros(0, np.int32)
