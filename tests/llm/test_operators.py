@@ -1,7 +1,12 @@
 """Each operator on odd rows, on empty tables, and against plain versions of itself."""
 
+import hashlib
 import math
+import random
 import re
+import string
+import time
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,6 +74,81 @@ def test_field_finds_what_the_patterns_mark(field, texts):
     assert len(hit) >= 0.9 * len(given)
 
 
+def _lines(make, n=60):
+    """n lines of ordinary words around what make gives."""
+    rng = random.Random(11)
+    some = "river garden window stone letter summer bread music market harbour lantern meadow".split()
+    return [f"{' '.join(rng.sample(some, 6))} {make(rng)} {' '.join(rng.sample(some, 5))}" for _ in range(n)]
+
+
+def _chars(alphabet, n):
+    return lambda rng: "".join(rng.choice(alphabet) for _ in range(n))
+
+
+_BOTH = string.ascii_letters + string.digits
+#: Families that neither the patterns nor the made-up lines know, with the least share to be found.
+_HELD_OUT = {
+    "ghp": (lambda r: "ghp_" + _chars(_BOTH, 36)(r), 0.9),
+    "AIza": (lambda r: "AIza" + _chars(_BOTH + "-_", 35)(r), 0.9),
+    "basic": (lambda r: f"Authorization: Basic {_chars(_BOTH, 32)(r)}==", 0.9),
+    "session": (lambda r: f'session="{_chars(_BOTH, 40)(r)}"', 0.9),
+    "passphrase": (lambda r: f"passphrase: {_chars(_BOTH, 16)(r)}", 0.7),
+    "SK": (lambda r: "SK" + _chars("0123456789abcdef", 16)(r) + _chars(_BOTH, 16)(r), 0.25),  # no cue word, no sign
+}
+_HARMLESS = {
+    "uuid": lambda r: str(uuid.UUID(int=r.getrandbits(128))),
+    "revision": lambda r: _chars("0123456789abcdef", 10)(r),
+    "time": lambda r: f"2024-03-{r.randint(10, 28)}T{r.randint(10, 23)}:11:05Z",
+    "book": lambda r: f"978-3-{r.randint(10000, 99999)}-{r.randint(100, 999)}-1",
+    "card": lambda r: _chars("0123456789", 16)(r),
+    "account": lambda r: "DE" + _chars("0123456789", 20)(r),
+    "word": lambda r: "password: " + r.choice(["required", "changed", "optional", "invalid"]),
+    "name": lambda r: "".join(r.sample(["River", "Garden", "Window", "Letter"], 4)),
+    "address": lambda r: f"https://example.com/{r.choice(['harbour', 'market'])}-news/{r.randint(1000, 99999)}.html",
+}
+
+
+def test_field_finds_families_it_was_not_taught(field):
+    for name, (make, least) in _HELD_OUT.items():
+        found = [any(k == 3 for _, k, _ in s) for s in secret_scan.scan(_lines(make), field)]
+        assert sum(found) >= least * len(found), name
+    for name, make in _HARMLESS.items():
+        found = [any(k == 3 for _, k, _ in s) for s in secret_scan.scan(_lines(make), field)]
+        assert sum(found) <= 0.04 * len(found), name
+
+
+def test_field_leaves_the_corpus_alone(field, texts):
+    """The documents hold secrets of the patterns only, besides accounts, cards, addresses and telephone numbers."""
+    found = secret_scan.scan(list(texts.values()), field)
+    assert sum(k == 3 for s in found for _, k, _ in s) <= 0.01 * len(found)
+
+
+def test_added_spans_and_digests_of_all_documents(spark, docs, texts, field):
+    known = [*_lines(lambda r: f'TOKEN = "{_chars("0123456789abcdef", 40)(r)}" AKIA{_chars(string.ascii_uppercase, 16)(r)}', 20), "é\U0001f600 api_key:abcdef1 \n passwd: 'x'"]
+    rows = [(-i, line) for i, line in enumerate([*_lines(_HELD_OUT["ghp"][0]), *known], 1)]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secret_scan.digest_rows(docs.select("doc_id", "text").unionByName(planted), field).collect()}
+    assert sum("crf" in got[-i]["spans"] for i in range(1, 61)) >= 54
+    assert sum(r["n_hex"] for r in got.values()) == sum(r["n_access"] for r in got.values()) == 20
+    for i, text in [*texts.items(), *rows]:
+        spans = _plain_spans(text)
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(x == k for _, x, _ in spans) for k in range(3)]
+
+
+def test_many_secrets_in_one_text(field):
+    """Added spans keep clear of base spans, in time that grows with the text."""
+    took = []
+    for n in (6000, 24000):
+        text = " ".join(f"token=abcdef{i} session=\"{hashlib.sha256(str(i).encode()).digest().hex().upper()}\" {i:024x}" for i in range(n))
+        began = time.monotonic()
+        (spans,) = secret_scan.scan([text], field)
+        took.append(time.monotonic() - began)
+        assert [s for s in spans if s[1] < 3] == _plain_spans(text) and sum(k == 3 for _, k, _ in spans) >= 0.9 * n
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     emit, moves = rng.normal(size=(400, 3)) * 2, rng.normal(size=(3, 3))
@@ -180,6 +260,35 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
 
 
+def test_components_of_a_long_path(spark):
+    rng = np.random.default_rng(5)
+    name = rng.permutation(201).tolist()
+    path = spark.createDataFrame(list(zip(name, name[1:])), "a long, b long")
+    assert {r["component"] for r in graph.connected_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        graph.connected_components(path, max_rounds=2)
+
+
+def test_a_chain_of_near_copies(spark, monkeypatch):
+    """Neighbours in the chain are linked, others are not; the chain is cut into many blocks, few of which are compared."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    words = [f"w{i}" for i in range(1200)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(280)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    links = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(max(0, i - 9), min(280, i + 10))) for i in sets}
+    dealt, deal = [], jaccard_join._deal
+
+    def count(signed, members):
+        dealt.append((deal(signed, members).count(), signed.count()))
+        return deal(signed, members)
+
+    monkeypatch.setattr(jaccard_join, "_deal", count)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.classes(docs).collect()}
+    assert got == {i: (0, n) for i, n in links.items()}
+    assert dealt[0][0] < 8 * dealt[0][1]
+
+
 # ---- SentencePiece
 
 
@@ -289,6 +398,59 @@ def test_toxicity(spark):
     assert toxicity.reject(docs, model).filter("toxic = 1").count() == 0
 
 
+def test_toxicity_against_a_plain_model(spark, monkeypatch):
+    """Log-count ratios, features and score of a small corpus, n-gram by n-gram; ids are text."""
+    rng = np.random.default_rng(4)
+    words = ["garden", "river", "window", "music", "letter", "nitwit", "fool"]
+    rows = [(f"d{i}", " ".join(rng.choice(words[: 5 + 2 * (i % 2)], 12)), i % 2) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    seen = {}
+    plain = toxicity._logistic
+
+    def logistic(parts, density, y, ratio, **settings):
+        seen["ratio"], (seen["w"], seen["b"]) = ratio, plain(parts, density, y, ratio, **settings)
+        return seen["w"], seen["b"]
+
+    monkeypatch.setattr(toxicity, "_logistic", logistic)
+    present, dense, b = toxicity.fit(docs.select("doc_id", "text"), docs.selectExpr("doc_id", "toxic"))
+    grams = lambda t: Counter((f" {t} ")[i : i + n] for n in toxicity.ORDERS for i in range(len(t) + 3 - n))
+    learn = [(grams(t), y) for i, t, y in rows if zlib.crc32(i.encode()) % 5]
+    n_pos, n_neg = sum(y for _, y in learn), sum(1 - y for _, y in learn)
+    pos, neg = Counter(g for c, y in learn if y for g in c), Counter(g for c, y in learn if not y for g in c)
+    ratio = {g: math.log((pos[g] + 0.5) / (n_pos + 1)) - math.log((neg[g] + 0.5) / (n_neg + 1)) for g in pos | neg}
+    bucket = {g: int(textvec.ngram_buckets([g], (len(g),), toxicity.BITS).__next__()[0][2]) for g in ratio}
+    assert len(set(bucket.values())) == len(bucket)
+    used = [g for g in ratio if abs(ratio[g]) >= 1 and pos[g] + neg[g] >= 3]
+    assert len(used) == len(seen["ratio"]) and sorted(ratio[g] for g in used) == pytest.approx(sorted(seen["ratio"]))
+    scores = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, (present, dense, b), keep=["doc_id"]).collect()}
+    for i, t, _ in rows:
+        total = b + sum(present[bucket[g]] + dense[bucket[g]] * min(n * toxicity.DENSITY / len(t), 3.0) for g, n in grams(t).items() if g in bucket)
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-4)
+
+
+def test_logistic_regression_reaches_the_minimum():
+    """Its loss is near that of a plain gradient descent run to the end."""
+    rng = np.random.default_rng(6)
+    parts = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
+    y = np.array([float((p < 4).sum() >= 2) for p in parts])
+    density = rng.random(sum(map(len, parts)))
+    ratio = rng.normal(size=12) * 2
+    row, col = np.repeat(np.arange(60), [len(p) for p in parts]), np.concatenate(parts)
+    x = np.zeros((60, 24))
+    x[row, col], x[row, 12 + col] = ratio[col], ratio[col] * density
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def loss(w, b):
+        z = x @ w + b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.015 * (w * w).sum()
+
+    w, b = np.zeros(24), 0.0
+    for _ in range(20000):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) * weight
+        w, b = w - 0.05 * (x.T @ e + 0.03 * w), b - 0.05 * e.sum()
+    assert loss(*toxicity._logistic(parts, density, y, ratio, l2=0.03)) <= loss(w, b) + 0.01
+
+
 def test_toxicity_on_odd_rows(odd, none, labels):
     for known in (labels, labels.filter("false"), labels.filter("toxic = 0")):
         got = toxicity.score(odd, toxicity.fit(odd, known), keep=["doc_id"]).collect()
@@ -303,6 +465,57 @@ def test_language(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_against_a_plain_model(spark):
+    """TF-IDF, FTRL, temperature and prediction, in plain code; ids are text."""
+    rng = np.random.default_rng(8)
+    words = {"a": ["moon", "river", "stone"], "b": ["luna", "fiume", "pietra"], "c": ["mond", "fluss", "stein"]}
+    rows = [(f"x{i}", " ".join(rng.choice(words["abc"[i % 3]], 6)), "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language_id.fit(docs, epochs=2)
+    learn = sorted((i, t, g) for i, t, g in rows if zlib.crc32(i.encode()) % 4 != 2)
+
+    def counts(t):
+        out = Counter()
+        for bucket, _ in textvec.ngram_buckets([t], language_id.ORDERS, language_id.BITS):
+            out.update(int(b) for b in bucket if b != 1 << language_id.BITS)
+        return out
+
+    df = Counter(b for _, t, _ in learn for b in counts(t))
+    idf = lambda b: math.log((1 + len(learn)) / (1 + df[b])) + 1
+    vector = lambda t: {**{b: n / sum(counts(t).values()) * language_id.SCALE * idf(b) for b, n in counts(t).items()}, "bias": 1.0}
+    given = [(vector(t), "abc".index(g)) for _, t, g in learn]
+    train, z, n = [r for i, r in enumerate(given) if i % 5], defaultdict(float), defaultdict(float)
+
+    def weight(b, k):
+        l1 = 0.0 if b == "bias" else 0.5
+        x = z[b, k]
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((1 + math.sqrt(n[b, k])) / 0.5 + 0.1)
+
+    def chances(v, t=1.0):
+        s = [sum(weight(b, k) * x for b, x in v.items()) / t for k in range(3)]
+        e = [math.exp(x - max(s)) for x in s]
+        return [x / sum(e) for x in e]
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for i in order.permutation(len(train)):
+            v, y = train[i]
+            p = chances(v)
+            w = {(b, k): weight(b, k) for b in v for k in range(3)}
+            for b, x in v.items():
+                for k in range(3):
+                    g = (p[k] - (k == y)) * x
+                    z[b, k] += g - (math.sqrt(n[b, k] + g * g) - math.sqrt(n[b, k])) / 0.5 * w[b, k]
+                    n[b, k] += g * g
+    held = [r for i, r in enumerate(given) if i % 5 == 0]
+    loss = lambda t: sum(-math.log(chances(v, t)[y] + 1e-12) for v, y in held)
+    best = min((math.exp(x) for x in np.linspace(-3, 3, 121)), key=loss)
+    assert model["langs"] == ["a", "b", "c"] and model["temperature"] == pytest.approx(best)
+    for r in language_id.predict(docs, model, keep=["doc_id", "text"]).collect():
+        p = chances(vector(r["text"]), best)
+        assert r["lang_pred"] == "abc"[p.index(max(p))] and r["score"] == pytest.approx(max(p), rel=1e-3)
+
+
 def test_language_on_odd_rows(odd, none):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, language_id.fit(odd), keep=["doc_id"]).collect()}
     assert [got[i] for i in (0, 1, 2, 10)] == [("und", 0.0)] * 4
