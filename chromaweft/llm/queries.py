@@ -36,7 +36,7 @@ def op5_toxicity(spark, sf_dir):
 def op6_warc(spark, sf_dir):
     path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.read_digests(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.digest_rows(spark, path)
 
 
 def op7_quality_rules(spark, sf_dir):
