@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from chromaweft.llm import decontamination, graph, jaccard_join, katz, language_id, quality_lm, quality_rules, queries, secret_scan, sp_codec, textvec, toxicity, warc
@@ -529,34 +530,49 @@ def test_language_on_odd_rows(odd, none):
 
 def test_archive_round_trip(spark):
     big = "é" * 600
-    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, big), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small"), (3, None, big), (None, "n", big)]
+    hostile = "http://h/ WARC-Refers-To: <urn:page:77> WARC-Type: revisit\r\nWARC-Refers-To: <urn:page:78>"
+    rows = [(8, hostile, "own"), (9, "WARC-Record-ID: <urn:page:5>", big + "x"), (1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, big), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small"), (3, None, big), (None, "n", big)]
     path = scratch_path(spark, "test-warc")
     warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
-    assert spark.read.parquet(f"{path}/payloads").count() == 3
+    assert spark.read.parquet(f"{path}/payloads").count() == 5
     records = warc.read_records(spark, path).collect()
     assert Counter((r["page_id"], bytes(r["payload"]).decode()) for r in records) == Counter((i, h or "") for i, _, h in rows)
     for r in records:
         head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         assert "X" not in fields and int(fields["Content-Length"]) == len(body) - 4
-        assert (fields["WARC-Type"] == "revisit") == (len(r["payload"]) >= 1000 and r["page_id"] != 3)
-    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_digests(spark, path).collect())
-    assert got == Counter({(1, "revisit", 3): 1, (2, "revisit", 3): 1, (3, "response", None): 2, (None, "revisit", 3): 1, **{(i, "response", None): 1 for i in (4, 5, 6, 7)}})
+        assert (fields["WARC-Type"] == "revisit") == (len(r["payload"]) >= 1000 and r["page_id"] not in (3, 9))
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.digest_rows(spark, path).collect())
+    assert got == Counter({(8, "response", None): 1, (9, "response", None): 1, (1, "revisit", 3): 1, (2, "revisit", 3): 1, (3, "response", None): 2, (None, "revisit", 3): 1, **{(i, "response", None): 1 for i in (4, 5, 6, 7)}})
 
 
 def test_corrupt_payload_is_an_error(spark):
     path = scratch_path(spark, "test-warc")
     warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), path)
-    bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.encode(F.lit("other"), "UTF-8")).collect()
-    spark.createDataFrame(bad, "digest string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
-    with pytest.raises(Exception, match="corrupt payload"):
-        warc.read_digests(spark, path).collect()
+    stored = spark.read.parquet(f"{path}/payloads").first()
+    for payload, error in ((zstandard.compress(b"othe"), "corrupt payload"), (zstandard.compress(b"longer text"), "corrupt payload"), (None, "record without payload")):
+        rows = [(stored["digest"] if payload else "other", payload or b"", 1)]
+        spark.createDataFrame(rows, "digest string, payload binary, shares int").write.mode("overwrite").parquet(f"{path}/payloads")
+        with pytest.raises(Exception, match=error):
+            warc.digest_rows(spark, path).collect()
+
+
+def test_many_records_of_one_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PER_SHARE", 50)
+    path = scratch_path(spark, "test-warc")
+    rows = [(i, f"u{i}", "x" * 2000 if i % 4 else "") for i in range(2000)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    assert sorted(r["shares"] for r in spark.read.parquet(f"{path}/payloads").collect()) == [11, 31]
+    assert spark.read.parquet(f"{path}/records").groupBy("digest", "share").count().agg(F.max("count")).first()[0] < 100
+    got = warc.read_records(spark, path).select("page_id", F.decode("payload", "UTF-8").alias("p"), "refers_to").collect()
+    assert sorted((r["page_id"], r["p"]) for r in got) == [(i, h) for i, _, h in rows]
+    assert {r["refers_to"] for r in got if r["p"]} == {None, 1999}
 
 
 def test_empty_archive(spark):
     path = scratch_path(spark, "test-warc")
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
-    assert warc.read_digests(spark, path).count() == 0 and warc.read_records(spark, path).count() == 0
+    assert warc.digest_rows(spark, path).count() == 0 and warc.read_records(spark, path).count() == 0
 
 
 # ---- quality rules
@@ -772,6 +788,24 @@ def test_thresholds(spark):
     assert got["a"] == pytest.approx(91, rel=0.01) and got["b"] == pytest.approx(3, rel=0.01) and set(got) == {"a", "b", "*"}
 
 
+def test_verdicts_against_plain_thresholds(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality_lm.classify(docs, labels, quantile=0.8).collect()
+    best = {}
+    for r in labels.filter("quality is not null").collect():
+        best[r["doc_id"]] = max(best.get(r["doc_id"], 0), r["quality"])
+    held, width = defaultdict(list), 2 * math.log(quality_lm.SYMBOLS) / quality_lm.BINS
+    for r in got:
+        if best.get(r["doc_id"]) == 1 and zlib.crc32(str(r["doc_id"]).encode()) % quality_lm.HELD_OUT == 0:
+            for lang in (r["lang"], "*"):
+                held[lang].append(min(quality_lm.BINS - 1, math.floor(math.log(r["perplexity"]) / width)))
+    cut = {lang: math.exp((sorted(bins)[math.ceil(0.8 * len(bins)) - 1] + 1) * width) for lang, bins in held.items()}
+    assert len(held["*"]) > 3 and 0 < sum(r["kept"] for r in got) < len(got)
+    for r in got:
+        want = cut.get(r["lang"], cut["*"])
+        assert r["threshold"] == pytest.approx(want) and r["kept"] == (r["perplexity"] <= want)
+
+
 def test_quality_on_odd_rows(odd, none, labels):
     got = quality_lm.classify(odd, labels)
     assert got.count() == odd.count() and got.filter("perplexity is null or kept is null").count() == 0
