@@ -10,43 +10,92 @@ from chromaweft.sources.alignments import assign_fragments, prepare_pairs
 
 FRAGMENTS = [(1, "chrA", 0, 1, 48), (2, "chrA", 0, 49, 94), (3, "chrA", 0, 95, 140), (4, "chrA", 0, 141, 188), (5, "chrB", 1, 1, 23), (6, "chrB", 1, 24, 69), (7, "chrB", 1, 70, 92)]
 
-# fixed values: name, then reads as fragment, strand, mate, offset (3' segments: *), and options: d duplicate, u unmapped, qN quality, aN length, hN,N clips
-READS = """
-good.1: 2-1 40; 1+2 40 q20
-good.2: 2+1 30; 1-2 30
-good.3: 4-1 25; 1-2 15 q20
-good.4: 4+1 35; 2+2 45
-good.5: 5+1 10; 3-2 20
-good.6: 7-1 20; 5-2 15
-self.1: 6+1 15 d; 6-2 15 d
-singleton.1: 6+1 20
-singleton.2: 6+2 20
-other.1: 4+1 20 d; 4+2 45 d
-other.2: 7-1 15; 7-2 15
-dangling.1: 3+1 20 d; 3-2 40 d
-dangling.2: 5+1 20 q20; 5-2 20
-dangling.3: 7+1 20 q20; 7-2 20
-dangling.4: 7+1 15; 7-2 15
-dangling.5: 7+1 20 a20; 7-2 15
-good.7: 6+1 5; 5-2 20
-good.8: 5+1 5; 2-2 5
-self.2: 4-1 30; 4+2 5
-chimeric.good.1: 6+1 5 a5 h5; 1-1 * a5 h5 q20; 1+2 30
-chimeric.good.2: 7-1 15 d; 7+2 * a5 h5; 3+2 5 a5 h5 d
-chimeric.good.3: 7-1 5 a5 h5; 6-1 * a5 h5; 6+2 5 a5 h5; 7+2 * a5 h5
-chimeric.invalid.1: 6-1 5 a5 h10 d; 2-1 * a10 h5; 3+2 5 a5 h5 d; 6+2 * a5 h5
-chimeric.invalid.2: 6-1 5 a5 h5; 3-1 * a5 h5; 2+2 5 a5 h5 q20; 7+2 * a5 h5 q20
-chimeric.invalid.3: 6-1 5 a5 h5; 4+1 * a5 h5 q20; 3-2 15
-chimeric.invalid.4: 4-1 5 a5 h5; 2+1 * a5 h5 d; 2+2 15
-chimeric.invalid.5: 2-1 5 a5 h28; 5-1 * a23 h5,5; 1-1 * a5 h28; 1+2 35
-chimeric.invalid.6: 4-1 5 a5 h5; 3-1 * a5 h5; 3+2 5 a5 h5 q20; 1+2 * a5 h5 q20
-chimeric.invalid.7: 6-1 5 a5 h20; 1+1 * a20 h5; 3-2 10
-chimeric.good.4: 5+1 10 a5 h5 d; 4+1 * a5 h5; 4-2 20 d
-chimeric.good.5: 5+1 5 a5 h5; 4-1 *10 a5 h5; 4+2 20 d
-unmap.1: 4-1 20 u; 1+2 30
-unmap.2: 5+1 10; 3-2 25 u
-unmap.3: 6-1 20 u; 5-2 15 u
-"""
+# fixed values: finished alignments as name, flag, chromosome, position, mapping quality, CIGAR
+ALIGNMENTS = [
+    ("good.1", 81, "chrA", 79, 200, "10M"),
+    ("good.1", 129, "chrA", 9, 20, "10M"),
+    ("good.2", 65, "chrA", 65, 200, "10M"),
+    ("good.2", 145, "chrA", 21, 200, "10M"),
+    ("good.3", 81, "chrA", 156, 200, "10M"),
+    ("good.3", 145, "chrA", 6, 20, "10M"),
+    ("good.4", 65, "chrA", 154, 200, "10M"),
+    ("good.4", 129, "chrA", 50, 200, "10M"),
+    ("good.5", 65, "chrB", 14, 200, "10M"),
+    ("good.5", 145, "chrA", 105, 200, "10M"),
+    ("good.6", 81, "chrB", 80, 200, "10M"),
+    ("good.6", 145, "chrB", 6, 200, "10M"),
+    ("self.1", 1089, "chrB", 55, 200, "10M"),
+    ("self.1", 1169, "chrB", 29, 200, "10M"),
+    ("singleton.1", 65, "chrB", 50, 200, "10M"),
+    ("singleton.2", 129, "chrB", 50, 200, "10M"),
+    ("other.1", 1089, "chrA", 169, 200, "10M"),
+    ("other.1", 1153, "chrA", 144, 200, "10M"),
+    ("other.2", 81, "chrB", 75, 200, "10M"),
+    ("other.2", 145, "chrB", 75, 200, "10M"),
+    ("dangling.1", 1089, "chrA", 121, 200, "10M"),
+    ("dangling.1", 1169, "chrA", 125, 200, "10M"),
+    ("dangling.2", 65, "chrB", 4, 20, "10M"),
+    ("dangling.2", 145, "chrB", 11, 200, "10M"),
+    ("dangling.3", 65, "chrB", 73, 20, "10M"),
+    ("dangling.3", 145, "chrB", 80, 200, "10M"),
+    ("dangling.4", 65, "chrB", 78, 200, "10M"),
+    ("dangling.4", 145, "chrB", 75, 200, "10M"),
+    ("dangling.5", 65, "chrB", 73, 200, "20M"),
+    ("dangling.5", 145, "chrB", 75, 200, "10M"),
+    ("good.7", 65, "chrB", 65, 200, "10M"),
+    ("good.7", 145, "chrB", 11, 200, "10M"),
+    ("good.8", 65, "chrB", 19, 200, "10M"),
+    ("good.8", 145, "chrA", 44, 200, "10M"),
+    ("self.2", 81, "chrA", 161, 200, "10M"),
+    ("self.2", 129, "chrA", 184, 200, "10M"),
+    ("chimeric.good.1", 65, "chrB", 65, 200, "5M5H"),
+    ("chimeric.good.1", 337, "chrA", 44, 20, "5M5H"),
+    ("chimeric.good.1", 129, "chrA", 19, 200, "10M"),
+    ("chimeric.good.2", 1105, "chrB", 75, 200, "10M"),
+    ("chimeric.good.2", 385, "chrB", 70, 200, "5H5M"),
+    ("chimeric.good.2", 1153, "chrA", 136, 200, "5M5H"),
+    ("chimeric.good.3", 81, "chrB", 70, 200, "5H5M"),
+    ("chimeric.good.3", 337, "chrB", 65, 200, "5M5H"),
+    ("chimeric.good.3", 129, "chrB", 65, 200, "5M5H"),
+    ("chimeric.good.3", 385, "chrB", 70, 200, "5H5M"),
+    ("chimeric.invalid.1", 1105, "chrB", 24, 200, "10H5M"),
+    ("chimeric.invalid.1", 337, "chrA", 85, 200, "10M5H"),
+    ("chimeric.invalid.1", 1153, "chrA", 136, 200, "5M5H"),
+    ("chimeric.invalid.1", 385, "chrB", 24, 200, "5H5M"),
+    ("chimeric.invalid.2", 81, "chrB", 24, 200, "5H5M"),
+    ("chimeric.invalid.2", 337, "chrA", 136, 200, "5M5H"),
+    ("chimeric.invalid.2", 129, "chrA", 90, 20, "5M5H"),
+    ("chimeric.invalid.2", 385, "chrB", 70, 20, "5H5M"),
+    ("chimeric.invalid.3", 81, "chrB", 24, 200, "5H5M"),
+    ("chimeric.invalid.3", 321, "chrA", 141, 20, "5H5M"),
+    ("chimeric.invalid.3", 145, "chrA", 100, 200, "10M"),
+    ("chimeric.invalid.4", 81, "chrA", 141, 200, "5H5M"),
+    ("chimeric.invalid.4", 1345, "chrA", 49, 200, "5H5M"),
+    ("chimeric.invalid.4", 129, "chrA", 80, 200, "10M"),
+    ("chimeric.invalid.5", 81, "chrA", 49, 200, "28H5M"),
+    ("chimeric.invalid.5", 337, "chrB", 1, 200, "5H23M5H"),
+    ("chimeric.invalid.5", 337, "chrA", 44, 200, "5M28H"),
+    ("chimeric.invalid.5", 129, "chrA", 14, 200, "10M"),
+    ("chimeric.invalid.6", 81, "chrA", 141, 200, "5H5M"),
+    ("chimeric.invalid.6", 337, "chrA", 136, 200, "5M5H"),
+    ("chimeric.invalid.6", 129, "chrA", 136, 20, "5M5H"),
+    ("chimeric.invalid.6", 385, "chrA", 1, 20, "5H5M"),
+    ("chimeric.invalid.7", 81, "chrB", 24, 200, "20H5M"),
+    ("chimeric.invalid.7", 321, "chrA", 1, 200, "5H20M"),
+    ("chimeric.invalid.7", 145, "chrA", 95, 200, "10M"),
+    ("chimeric.good.4", 1089, "chrB", 14, 200, "5M5H"),
+    ("chimeric.good.4", 321, "chrA", 141, 200, "5H5M"),
+    ("chimeric.good.4", 1169, "chrA", 151, 200, "10M"),
+    ("chimeric.good.5", 65, "chrB", 19, 200, "5M5H"),
+    ("chimeric.good.5", 337, "chrA", 179, 200, "5M5H"),
+    ("chimeric.good.5", 1153, "chrA", 169, 200, "10M"),
+    ("unmap.1", 85, "chrA", 151, 200, "10M"),
+    ("unmap.1", 129, "chrA", 19, 200, "10M"),
+    ("unmap.2", 65, "chrB", 14, 200, "10M"),
+    ("unmap.2", 149, "chrA", 110, 200, "10M"),
+    ("unmap.3", 85, "chrB", 34, 200, "10M"),
+    ("unmap.3", 149, "chrB", 6, 200, "10M"),
+]
 
 GOLDEN = {  # total, marked, filtered, mapped, dangling, self-circle, singles, chimeras, mapped, multi, invalid; rows
     "all": (dict(dedup=False), (32, 7, 3, 29, 5, 2, 2, 12, 12, 12, 7), 22),
@@ -76,28 +125,6 @@ chimeric.good.3 7 6 10 1 10
 other.2 7 7 30 3 10"""
 
 
-def alignments():
-    frag = {f[0]: f for f in FRAGMENTS}
-    out = []
-    for line in READS.strip().splitlines():
-        name, _, reads = line.partition(": ")
-        for read in reads.split(";"):
-            what, offset, *options = read.split()
-            f, forward, mate = frag[int(what[0])], what[1] == "+", what[2]
-            opts = {o[0]: o[1:] for o in options}
-            length = int(opts.get("a", 10))
-            primary = offset[0] != "*"
-            start, end = f[3], f[4]
-            off = int(offset) if primary else (end - start + 1) - (int(offset[1:]) if len(offset) > 1 else length) + length
-            pos = end - off + 1 if forward else start + off - length
-            cigar = f"{length}M"
-            for i, h in enumerate(opts["h"].split(",") if "h" in opts else []):
-                cigar = f"{cigar}{h}H" if (i == 0) == (primary == forward) else f"{h}H{cigar}"
-            flag = 1 + 4 * ("u" in opts) + 16 * (not forward) + (64 if mate == "1" else 128) + 256 * (not primary) + 1024 * ("d" in opts)
-            out.append((name, flag, f[1], pos, int(opts.get("q", 200)), cigar))
-    return out
-
-
 @pytest.fixture(scope="module")
 def fragments(spark):
     return spark.createDataFrame(FRAGMENTS, "frag_id int, chr string, chr_idx int, start int, end int")
@@ -105,7 +132,7 @@ def fragments(spark):
 
 @pytest.fixture(scope="module")
 def reads(spark):
-    return spark.createDataFrame(alignments(), "qname string, flag int, chr string, pos int, mapq int, cigar string")
+    return spark.createDataFrame(ALIGNMENTS, "qname string, flag int, chr string, pos int, mapq int, cigar string")
 
 
 @pytest.mark.parametrize("case", list(GOLDEN))
