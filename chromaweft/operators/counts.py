@@ -6,15 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaweft.functions.interval import five_prime, interval_join
+from chromaweft.operators.ordered import numbered
 from chromaweft.operators.scan import scan
 from chromaweft.plans.param import Interactions, PairParam
 
 
+def restricted_names(restrict: tuple) -> set[str]:
+    return {x for r in restrict for x in ((r,) if isinstance(r, str) else r)}
+
+
+def on_restricted(regions: DataFrame, param: PairParam) -> DataFrame:
+    """Regions on the restricted chromosomes (all, without a restriction); `original` still tells their first places."""
+    names = restricted_names(param.restrict)
+    return regions.filter(F.col("chr").isin(*names)) if names else regions
+
+
 def fragment_bins(fragments: DataFrame, width: int, restrict: tuple = ()) -> DataFrame:
     """frag_id, bin: runs of fragments whose middles share a width, numbered over all chromosomes in order."""
     if width < 0:
         raise ValueError("width must not be negative")
-    names = {x for r in restrict for x in ((r,) if isinstance(r, str) else r)}
+    names = restricted_names(restrict)
     used = fragments.filter(F.col("chr").isin(*names)) if names else fragments
     raw = F.floor(((F.col("start") + F.col("end")) / 2 - 0.1) / width) if width else F.col("frag_id")
     # numbered within chromosomes, then shifted by the chromosomes before: no window over the whole genome
@@ -47,8 +58,9 @@ def binned_pairs(pairs: DataFrame, param: PairParam, width: int, restrict_region
     """(lib, a1, a2 with a1 >= a2; regions)."""
     seen = scan(pairs, param)
     if param.dnase:
-        regions = regular_bins(param.chromosomes, width)
-        base = param.chromosomes.withColumn("n", F.ceil(F.col("length") / width)).withColumn("shift", F.sum("n").over(Window.orderBy("chr_idx")) - F.col("n"))
+        chromosomes = on_restricted(param.chromosomes, param) if restrict_regions else param.chromosomes
+        regions = regular_bins(chromosomes, width)
+        base = chromosomes.withColumn("n", F.ceil(F.col("length") / width)).withColumn("shift", F.sum("n").over(Window.orderBy("chr_idx")) - F.col("n"))
         one = base.select(F.col("chr").alias("chr1"), F.col("length").alias("__l1"), F.col("shift").alias("__s1"))
         two = base.select(F.col("chr").alias("chr2"), F.col("length").alias("__l2"), F.col("shift").alias("__s2"))
         seen = seen.join(one, "chr1").join(two, "chr2")
@@ -84,9 +96,9 @@ def square_counts(pairs: DataFrame, param: PairParam, libraries: tuple[str, ...]
     return Interactions(tabulate(binned, libraries, least), regions, libraries, total_counts(pairs, param, libraries), width)
 
 
-def margin_counts(pairs: DataFrame, param: PairParam, libraries: tuple[str, ...], width: int = 50000) -> DataFrame:
+def margin_counts(pairs: DataFrame, param: PairParam, libraries: tuple[str, ...], width: int = 50000, restrict_regions: bool = False) -> DataFrame:
     """region_id, counts: ends per bin, all bins kept; a pair within one bin adds two."""
-    binned, regions = binned_pairs(pairs, param, width)
+    binned, regions = binned_pairs(pairs, param, width, restrict_regions)
     ends = binned.select("lib", F.explode(F.array("a1", "a2")).alias("bin"))
     counts = ends.groupBy("bin").agg(*[F.count_if(F.col("lib") == x).alias(f"__{i}") for i, x in enumerate(libraries)])
     out = regions.join(counts, F.col("region_id") == F.col("bin"), "left")
@@ -112,45 +124,72 @@ def _window(a: str, region: tuple[str, int, int]) -> Column:
     return (F.col(f"{a}_chr") == chrom) & (F.col(f"{a}_start") <= end) & (F.col(f"{a}_end") >= start)
 
 
-def extract_patch(pairs: DataFrame, param: PairParam, first: tuple[str, int, int], second: tuple[str, int, int] | None = None, width: int = 10000) -> DataFrame:
+def extract_patch(pairs: DataFrame, param: PairParam, first: tuple[str, int, int], second: tuple[str, int, int] | None = None, width: int = 10000, restrict_regions: bool = False) -> DataFrame:
     """a1, a2, count, flipped of the bin pairs between two regions; within a chromosome either way round.
 
-    The chromosomes are pushed into the scan.
+    The chromosomes and the regions' ranges of fragments are pushed into the scan, and pairs meet the regions' bins only.
+    With restrict_regions, bins are numbered over the two chromosomes alone.
     """
     second = second or first
     names = (first[0], second[0])
-    narrow = pairs.filter(((F.col("chr1") == names[0]) & (F.col("chr2") == names[1])) | ((F.col("chr1") == names[1]) & (F.col("chr2") == names[0])))
-    binned, regions = binned_pairs(narrow, param, width)
+    param = param.reform(restrict=(names,))
+    _, regions = binned_pairs(pairs.limit(0), param, width, restrict_regions)
     r = regions.select("region_id", "chr", "start", "end")
     one = r.toDF("a1", "a1_chr", "a1_start", "a1_end")
     two = r.toDF("a2", "a2_chr", "a2_start", "a2_end")
-    counts = binned.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("count"))
     near = _window("a1", first) & _window("a2", second)
     far = _window("a1", second) & _window("a2", first)
+    narrow = pairs
+    if not param.dnase:
+        bins = fragment_bins(param.fragments, width)
+        own = bins.groupBy("bin").agg(F.first("chr").alias("w_chr"), F.min("start").alias("w_start"), F.max("end").alias("w_end"), F.min("frag_id").alias("low"), F.max("frag_id").alias("high"))
+        span = own.agg(*[f(F.when(_window("w", w), F.col(c))).alias(f"{c}{i}") for i, w in enumerate((first, second)) for f, c in ((F.min, "low"), (F.max, "high"))]).first()  # four numbers
+        if span["low0"] is None or span["low1"] is None:
+            narrow = pairs.filter(F.lit(False))
+        else:
+            x, y = (span["low0"], span["high0"]), (span["low1"], span["high1"])
+            narrow = pairs.filter((F.col("anchor1_id").between(*x) & F.col("anchor2_id").between(*y)) | (F.col("anchor1_id").between(*y) & F.col("anchor2_id").between(*x)))
+    binned, _ = binned_pairs(narrow, param, width, restrict_regions)
+    counts = binned.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("count"))
     return counts.join(one, "a1").join(two, "a2").filter(near | far).select("a1", "a2", "count", (~near).alias("flipped"))
 
 
-def connect_counts(pairs: DataFrame, param: PairParam, regions: DataFrame, libraries: tuple[str, ...], least: int = 1, kind: str = "any", second: DataFrame | None = None) -> Interactions:
-    """Pairs between regions (chr, start, end): each pair once per pair of regions that it links.
+def connect_counts(pairs: DataFrame, param: PairParam, regions: DataFrame, libraries: tuple[str, ...], least: int = 1, kind: str = "any", second: DataFrame | int | None = None, restrict_regions: bool = False) -> Interactions:
+    """Pairs between regions (original, chr, start, end): each pair once per pair of regions that it links.
 
-    Regions are stretched to the fragments they overlap and sorted; with `second`, one end lies in each set.
+    Regions are stretched to the fragments they overlap and sorted; with `second`, one end lies in each set. A number as `second`
+    stands for the genome's bins of that width, whose `original` is null. With restrict_regions, regions and bins on other
+    chromosomes than the restricted ones are left out.
     """
-    rows = regions.withColumn("set", F.lit(1))
-    if second is not None:
-        rows = rows.unionByName(second.withColumn("set", F.lit(2)))
-    rows = rows.select("set", F.col("chr"), F.col("start"), F.col("end"), F.col("original"))
+    def chosen(df: DataFrame, number: int) -> DataFrame:
+        df = on_restricted(df, param) if restrict_regions else df
+        return df.select(F.lit(number).alias("set"), F.col("original").cast("long").alias("key"), F.col("original").cast("long").alias("original"), "chr", "start", "end")
+
+    rows = chosen(regions, 1)
+    if isinstance(second, DataFrame):
+        rows = rows.unionByName(chosen(second, 2))
+    of_bins = None
     if param.dnase:
         order = param.chromosomes.select("chr", "chr_idx")
         stretched = rows.join(order, "chr").withColumn("nfrags", F.lit(0).cast("long"))
+        if isinstance(second, int):
+            of_bins = regular_bins(on_restricted(param.chromosomes, param) if restrict_regions else param.chromosomes, second)
     else:
         frag = param.fragments.select(F.col("frag_id"), F.col("chr").alias("l_chr"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-        hits = interval_join(frag, rows.select("set", "original", F.col("chr").alias("r_chr"), F.col("start").alias("r_start"), F.col("end").alias("r_end")), kind)
-        wide = hits.groupBy("set", "original").agg(F.min("l_start").alias("s"), F.max("l_end").alias("e"), F.count(F.lit(1)).alias("nf"))
+        hits = interval_join(frag, rows.select("set", "key", F.col("chr").alias("r_chr"), F.col("start").alias("r_start"), F.col("end").alias("r_end")), kind)
+        wide = hits.groupBy("set", "key").agg(F.min("l_start").alias("s"), F.max("l_end").alias("e"), F.count(F.lit(1)).alias("nf"))
         order = param.fragments.select("chr", "chr_idx").distinct()
-        stretched = rows.join(order, "chr").join(wide, ["set", "original"], "left")
-        stretched = stretched.select("set", "chr", "chr_idx", F.coalesce("s", "start").alias("start"), F.coalesce("e", "end").alias("end"), "original", F.coalesce("nf", F.lit(0)).alias("nfrags"))
-    number = F.row_number().over(Window.orderBy("chr_idx", "start", "end", "set", "original")).cast("long")  # regions are a small table
-    out = stretched.withColumn("region_id", number)
+        stretched = rows.join(order, "chr").join(wide, ["set", "key"], "left")
+        stretched = stretched.select("set", "key", "original", "chr", "chr_idx", F.coalesce("s", "start").alias("start"), F.coalesce("e", "end").alias("end"), F.coalesce("nf", F.lit(0)).alias("nfrags"))
+        hits = hits.select("set", "key", "frag_id")
+        if isinstance(second, int):
+            bins = fragment_bins(param.fragments, second, param.restrict if restrict_regions else ())
+            of_bins = bin_regions(bins)
+            hits = hits.unionByName(bins.select(F.lit(2).alias("set"), F.col("bin").alias("key"), "frag_id"))
+    if of_bins is not None:
+        made = of_bins.select(F.lit(2).alias("set"), F.col("region_id").alias("key"), F.lit(None).cast("long").alias("original"), "chr", "chr_idx", "start", "end", "nfrags")
+        stretched = stretched.select(*made.columns).unionByName(made)
+    out = numbered(stretched.withColumn("chr_idx", F.col("chr_idx").cast("int")), "chr_idx", "start", "end", "set", "key", out="region_id")
     seen, slots = scan(pairs, param), [f"__{i}" for i in range(len(libraries))]
     tallies = [F.count_if(F.col("lib") == x).alias(s) for s, x in zip(slots, libraries)]
     if param.dnase:
@@ -161,19 +200,17 @@ def connect_counts(pairs: DataFrame, param: PairParam, regions: DataFrame, libra
         for i, (x, s) in enumerate((("x", "sx"), ("y", "sy")), 1):
             left = linked.withColumns({"l_chr": F.col(f"chr{i}"), "l_start": F.col(f"anchor{i}_pos"), "l_end": F.col(f"anchor{i}_pos") + F.abs(f"anchor{i}_len") - 1})
             linked = interval_join(left, right, kind).withColumnRenamed("region_id", x).withColumnRenamed("set", s).drop("l_chr", "l_start", "l_end", "r_chr", "r_start", "r_end")
-        once = (linked.filter("sx <> sy") if second is not None else linked).select(*place, F.greatest("x", "y").alias("a1"), F.least("x", "y").alias("a2"), *slots).distinct()
-        sums = once.groupBy("a1", "a2").agg(*[F.sum(s).alias(s) for s in slots])
-        total = sum((F.col(s) for s in slots[1:]), F.col(slots[0]))
-        return Interactions(sums.filter(total >= least).select("a1", "a2", F.array(*slots).alias("counts")), out, libraries, total_counts(pairs, param, libraries))
-    # many pairs join two fragments: count them first, then spread the counts over the regions
-    counted = seen.groupBy("anchor1_id", "anchor2_id").agg(*tallies)
-    touch = hits.select("set", "original", "frag_id").join(out.select("set", "original", "region_id"), ["set", "original"]).select("set", "frag_id", "region_id")
-    linked = counted.join(touch.toDF("sx", "anchor1_id", "x"), "anchor1_id").join(touch.toDF("sy", "anchor2_id", "y"), "anchor2_id")
+    else:
+        # many pairs join two fragments: count them first, then spread the counts over the regions
+        place = ["anchor1_id", "anchor2_id"]
+        counted = seen.groupBy(*place).agg(*tallies)
+        touch = hits.join(out.select("set", "key", "region_id"), ["set", "key"]).select("set", "frag_id", "region_id")
+        linked = counted.join(touch.toDF("sx", "anchor1_id", "x"), "anchor1_id").join(touch.toDF("sy", "anchor2_id", "y"), "anchor2_id")
     linked = linked.filter("sx <> sy") if second is not None else linked
-    once = linked.select("anchor1_id", "anchor2_id", F.greatest("x", "y").alias("a1"), F.least("x", "y").alias("a2"), *slots).distinct()
+    once = linked.select(*place, F.greatest("x", "y").alias("a1"), F.least("x", "y").alias("a2"), *slots).distinct()
     sums = once.groupBy("a1", "a2").agg(*[F.sum(s).alias(s) for s in slots])
     total = sum((F.col(s) for s in slots[1:]), F.col(slots[0]))
-    return Interactions(sums.filter(total >= least).select("a1", "a2", F.array(*slots).alias("counts")), out, libraries, total_counts(pairs, param, libraries))
+    return Interactions(sums.filter(total >= least).select("a1", "a2", F.array(*slots).alias("counts")), out.drop("key"), libraries, total_counts(pairs, param, libraries))
 
 
 def as_dge(data: Interactions) -> tuple[DataFrame, DataFrame]:

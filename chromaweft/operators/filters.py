@@ -57,16 +57,16 @@ def _possible(regions: DataFrame) -> tuple[int, int]:
     return intra, total - intra
 
 
-def direct_threshold(data: Interactions, totals: list[int], prior: float = 2.0) -> float:
+def direct_threshold(data: Interactions, totals: list[int], prior: float = 2.0, scale: float = 1.0) -> float | None:
     """Median abundance of all possible pairs across chromosomes, unseen ones counted as empty."""
-    scored = with_ends(data).filter(~same_chromosome()).select(abundance(F.col("counts"), totals, prior).alias("ab"))
+    scored = with_ends(data).filter(~same_chromosome()).select(abundance(F.col("counts"), totals, prior, scale).alias("ab"))
     n = scored.count()
     possible = max(1, _possible(data.regions)[1])
     share = n / possible
     if share >= 1:
         return scored.agg(F.percentile("ab", 0.5)).first()[0]
     if share < 0.5:
-        empty = data.pairs.sparkSession.range(1).select(abundance(F.array(*[F.lit(0)] * len(totals)), totals, prior).alias("ab"))
+        empty = data.pairs.sparkSession.range(1).select(abundance(F.array(*[F.lit(0)] * len(totals)), totals, prior, scale).alias("ab"))
         return empty.first()[0]
     return scored.agg(F.percentile("ab", 1 - 0.5 / share)).first()[0]
 
@@ -76,8 +76,7 @@ def filter_direct(data: Interactions, totals: list[int], prior: float = 2.0, ref
     if reference is None:
         return data.pairs.select("a1", "a2", abundance(F.col("counts"), totals, prior).alias("abundance")), direct_threshold(data, totals, prior)
     scale = (reference.width / data.width) ** 2
-    threshold = direct_threshold(reference, totals, prior * scale)
-    return data.pairs.select("a1", "a2", abundance(F.col("counts"), totals, prior).alias("abundance")), threshold - float(np.log2(scale))
+    return data.pairs.select("a1", "a2", abundance(F.col("counts"), totals, prior).alias("abundance")), direct_threshold(reference, totals, prior, scale)
 
 
 def _weighted_median(x: np.ndarray, n: np.ndarray) -> float:
@@ -131,35 +130,50 @@ def lowess(x: np.ndarray, y: np.ndarray, span: float, at: np.ndarray | None = No
     return np.interp(x if at is None else at, knots, fit)
 
 
-def trended(data: Interactions, totals: list[int], span: float = 0.25, prior: float = 2.0, steps: int = 512) -> DataFrame:
+def trended(data: Interactions, totals: list[int], span: float = 0.25, prior: float = 2.0, steps: int = 512, reference: Interactions | None = None) -> DataFrame:
     """pairs with abundance, log_distance and trend: the distance trend within chromosomes, the direct threshold across.
 
-    Unseen pairs within a chromosome enter as empty ones. What is fitted are means over `steps` bins of distance weighted by
-    their pairs, so the fit's size does not grow with the pairs.
+    Unseen pairs within a chromosome enter as empty ones (not without a prior, where they have no abundance). What is fitted are means
+    over `steps` bins of distance weighted by their pairs, so the fit's size does not grow with the pairs. With a reference of wider bins, the trend and
+    the threshold are those of the reference, its counts scaled by the bins' areas.
     """
+    ends = _with_abundance(data, totals, prior, 1.0)
+    if reference is None:
+        x, y, threshold = _trend(data, ends, totals, span, prior, steps, 1.0)
+    else:
+        scale = (reference.width / data.width) ** 2
+        x, y, threshold = _trend(reference, _with_abundance(reference, totals, prior, scale), totals, span, prior, steps, scale)
+    if not len(x):
+        return ends.withColumn("trend", F.lit(threshold))
+    knots = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in zip(x, y)])
+    return ends.withColumn("trend", F.when(same_chromosome(), interpolate(F.col("log_distance"), knots, len(x))).otherwise(F.lit(threshold)))
+
+
+def _with_abundance(data: Interactions, totals: list[int], prior: float, scale: float) -> DataFrame:
+    return with_ends(data).withColumn("abundance", abundance(F.col("counts"), totals, prior, scale)).withColumn("log_distance", F.log10(distance() + (data.width or 1)))
+
+
+def _trend(data: Interactions, ends: DataFrame, totals: list[int], span: float, prior: float, steps: int, scale: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log distances and the trend there, and the threshold across chromosomes."""
     width = data.width or 1
-    ends = with_ends(data).withColumn("abundance", abundance(F.col("counts"), totals, prior)).withColumn("log_distance", F.log10(distance() + width))
-    seen = ends.filter(same_chromosome())
+    seen = ends.filter(same_chromosome() & F.col("abundance").isNotNull())
     intra, _ = _possible(data.regions)
     n_seen = seen.count()
-    if n_seen * 2 < intra:
-        points = seen.select("log_distance", "abundance")
-    else:
+    points = seen.select("log_distance", "abundance")
+    if n_seen * 2 >= intra and prior > 0:
         r = data.regions.select("region_id", "chr", "start", "end")
         one, two = r.toDF("a1", "chr1", "start1", "end1"), r.toDF("a2", "chr2", "start2", "end2")
-        empty = abundance(F.array(*[F.lit(0)] * len(totals)), totals, prior)
+        empty = abundance(F.array(*[F.lit(0)] * len(totals)), totals, prior, scale)
         unseen = one.join(two, (F.col("chr1") == F.col("chr2")) & (F.col("a1") >= F.col("a2"))).join(seen.select("a1", "a2"), ["a1", "a2"], "left_anti")
-        points = seen.select("log_distance", "abundance").union(unseen.select(F.log10(distance() + width), empty))
+        points = points.union(unseen.select(F.log10(distance() + width), empty))
     span_of = points.agg(F.min("log_distance").alias("a"), F.max("log_distance").alias("b")).first()
-    threshold = direct_threshold(data, totals, prior)
+    threshold = direct_threshold(data, totals, prior, scale)
     if span_of["a"] is None:
-        return ends.withColumn("trend", F.lit(threshold))
+        return np.zeros(0), np.zeros(0), threshold
     step = max((span_of["b"] - span_of["a"]) / steps, 1e-9)
     binned = points.groupBy(F.floor((F.col("log_distance") - span_of["a"]) / step).alias("g")).agg(F.avg("log_distance").alias("x"), F.avg("abundance").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("g").collect()
     x, y, n = (np.array([b[c] for b in binned], float) for c in "xyn")
-    fit = lowess(x, y, span, n=n)
-    knots = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in zip(x, fit)])
-    return ends.withColumn("trend", F.when(same_chromosome(), interpolate(F.col("log_distance"), knots, len(x))).otherwise(F.lit(threshold)))
+    return x, lowess(x, y, span, n=n), threshold
 
 
 def interpolate(x: Column, knots: Column, n: int) -> Column:

@@ -50,16 +50,14 @@ def param(spark: SparkSession, sf_dir: str, **more) -> PairParam:
     return PairParam(fragments=fragments(spark, sf_dir), **more)
 
 
-def width(spark: SparkSession, sf_dir: str) -> int:
-    """A bin width that leaves about a dozen bins per chromosome."""
-    return 25 * spark.read.parquet(f"{sf_dir}/part.parquet").count()
-
+#: Bin width of the queries, in base pairs, whatever the tables' size.
+WIDTH = 50_000
 
 LIBRARIES = ("A", "N", "R")
 
 #: n.n parts; frag; pairs; near pairs (as above)
 SQL = """
-n AS (SELECT count(*) AS n, 25 * count(*) AS width FROM part),
+n AS (SELECT count(*) AS n, 50000 AS width FROM part),
 frag0 AS (SELECT CAST(p_partkey + 1 AS INT) AS frag_id, CAST(floor(p_partkey * 4 / (SELECT n FROM n)) AS INT) AS chr_idx, 500 + 30 * p_size AS w FROM part),
 frag AS (SELECT frag_id, 'chr' || (chr_idx + 1) AS chr, chr_idx, CAST(sum(w) OVER (PARTITION BY chr_idx ORDER BY frag_id) - w + 1 AS INT) AS s, CAST(sum(w) OVER (PARTITION BY chr_idx ORDER BY frag_id) AS INT) AS e FROM frag0),
 line AS (SELECT l_returnflag AS lib, CAST(l_partkey AS BIGINT) + 1 AS i, CAST(l_orderkey AS BIGINT) % (SELECT n FROM n) + 1 AS j,

@@ -12,7 +12,7 @@ from chromaweft.functions.interval import five_prime, merge_ranges
 from chromaweft.operators import counts, filters, geometry, neighbors, normalize, results
 from chromaweft.operators import scan as scans
 from chromaweft.plans import demo
-from chromaweft.plans.durable import durable
+from chromaweft.plans.durable import durable, scratch_path
 from chromaweft.plans.param import Interactions, PairParam
 from chromaweft.sources import alignments, genome, matrices, store
 
@@ -37,7 +37,7 @@ def slots(df: DataFrame, column: str = "counts", prefix: str = "c_") -> DataFram
 
 
 def _square(spark, sf_dir, near=False, least=1, **more) -> Interactions:
-    return counts.square_counts(demo.pairs(spark, sf_dir, near), demo.param(spark, sf_dir, **more), LIBS, demo.width(spark, sf_dir), least)
+    return counts.square_counts(demo.pairs(spark, sf_dir, near), demo.param(spark, sf_dir, **more), LIBS, demo.WIDTH, least)
 
 
 def _totals(data: Interactions) -> list[int]:
@@ -119,12 +119,21 @@ def s5_prune_pairs(spark, sf_dir):
     return scans.prune_pairs(demo.pairs(spark, sf_dir, near=True), demo.param(spark, sf_dir, cap=3), 2500, 3000, 9000)[1]
 
 
+@query(
+    f"""{_STATS}, marks AS (SELECT *, length > 2500 OR coalesce(chr1 = chr2 AND orientation = 1 AND ins < 3000, false) OR coalesce(chr1 = chr2 AND orientation = 2 AND ins < 9000, false) AS bad FROM stats),
+    capped AS (SELECT *, row_number() OVER (PARTITION BY lib, id1, id2 ORDER BY pos1, pos2, len1, len2) AS k FROM marks WHERE NOT bad)
+    SELECT lib, id1 AS anchor1_id, id2 AS anchor2_id, CAST(pos1 AS BIGINT) AS anchor1_pos, CAST(pos2 AS BIGINT) AS anchor2_pos, CAST(len1 AS BIGINT) AS anchor1_len, CAST(len2 AS BIGINT) AS anchor2_len FROM capped WHERE k <= 3"""
+)
+def s5_pruned_store(spark, sf_dir):
+    path = scratch_path(spark, "store")
+    store.save_pairs(demo.pairs(spark, sf_dir, near=True), path)
+    store.prune_store(spark, path, demo.param(spark, sf_dir, cap=3), None, 2500, 3000, 9000)
+    return store.load_store(spark, path).select("lib", *[F.col(c).cast("long").alias(c) for c in scans.STORED])
+
+
 def _stored(spark, sf_dir) -> str:
     """A store written with its ends the wrong way round for every other pair."""
-    from uuid import uuid4
-    from tempfile import gettempdir
-
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or gettempdir()).rstrip('/')}/chromaweft-store-{uuid4().hex}"
+    path = scratch_path(spark, "store")
     p = demo.pairs(spark, sf_dir)
     odd = (F.col("anchor1_pos") % 2 == 1) & (F.col("anchor1_id") > F.col("anchor2_id"))
     mixed = [F.when(odd, F.col(c.replace("1", "2") if "1" in c else c.replace("2", "1"))).otherwise(F.col(c)).alias(c) for c in p.columns]
@@ -140,8 +149,10 @@ def s3_save_and_load(spark, sf_dir):
 @query(" SELECT lib, chr1, chr2, 2 * count(*) AS n, 2 * sum(pos1) AS p1, 2 * sum(pos2) AS p2 FROM pairs GROUP BY ALL")
 def s4_merge_pairs(spark, sf_dir):
     path = _stored(spark, sf_dir)
-    store.merge_stores(spark, [path, path], path + "-both")
-    return _summed(store.load_store(spark, path + "-both"))
+    both = scratch_path(spark, "store")
+    store.merge_stores(spark, [path, path], both)
+    store.merge_stores(spark, [both], both)  # the result may replace an input
+    return _summed(store.load_store(spark, both))
 
 
 @query(" SELECT DISTINCT chr1, chr2 FROM pairs")
@@ -154,6 +165,14 @@ def s7_load_pair(spark, sf_dir):
     return _summed(store.load_pair(demo.pairs(spark, sf_dir), "chr1", "chr2")[0])
 
 
+@query(" SELECT count(*) AS n_pairs, count(*) FILTER (pos1 % 5 = 0 AND id1 <> id2) AS wrong_order, count(*) FILTER (pos1 % 5 = 1) AS unknown_fragment, count(*) FILTER (pos1 % 5 = 2 AND chr1 <> 'chr1') AS wrong_chromosome FROM pairs")
+def f5_check_violations(spark, sf_dir):
+    p, kind = demo.pairs(spark, sf_dir), F.col("anchor1_pos") % 5
+    swap = [F.when(kind == 0, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("anchor1_id", "anchor2_id"), ("anchor2_id", "anchor1_id"), ("chr1", "chr2"), ("chr2", "chr1"))]
+    bad = p.select("anchor1_pos", *swap).withColumn("anchor1_id", F.when(kind == 1, 10_000_000).otherwise(F.col("anchor1_id"))).withColumn("chr1", F.when(kind == 2, "chr1").otherwise(F.col("chr1")))
+    return scans.check_pairs(bad, demo.fragments(spark, sf_dir))
+
+
 # ---- counts -----------------------------------------------------------------------------------------------
 
 
@@ -164,7 +183,7 @@ def a1_square_counts(spark, sf_dir):
 
 @query(" SELECT region_id, chr, s AS start, e AS \"end\", nfrags FROM reg")
 def a12_bins(spark, sf_dir):
-    bins = counts.fragment_bins(demo.fragments(spark, sf_dir), demo.width(spark, sf_dir))
+    bins = counts.fragment_bins(demo.fragments(spark, sf_dir), demo.WIDTH)
     return counts.bin_regions(bins).select("region_id", "chr", "start", "end", "nfrags")
 
 
@@ -180,13 +199,22 @@ def a4_total_counts(spark, sf_dir):
 
 @query(f", e AS (SELECT lib, a.bin FROM pairs p JOIN bin a ON a.frag_id = p.id1 UNION ALL SELECT lib, b.bin FROM pairs p JOIN bin b ON b.frag_id = p.id2) SELECT region_id, chr, {', '.join(f'(SELECT count(*) FROM e WHERE e.bin = region_id AND lib = {chr(39)}{x}{chr(39)}) AS c_{x}' for x in LIBS)} FROM reg")
 def a3_margin_counts(spark, sf_dir):
-    out = counts.margin_counts(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), LIBS, demo.width(spark, sf_dir))
+    out = counts.margin_counts(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), LIBS, demo.WIDTH)
+    return slots(out.select("region_id", "chr", "counts"))
+
+
+_TWO_CHROMOSOMES = ", b2 AS (SELECT *, dense_rank() OVER (ORDER BY chr_idx, raw) AS nb FROM bin0 WHERE chr IN ('chr2', 'chr4'))"
+
+
+@query(f"{_TWO_CHROMOSOMES}, e AS (SELECT lib, a.nb FROM pairs p JOIN b2 a ON a.frag_id = p.id1 JOIN b2 b ON b.frag_id = p.id2 UNION ALL SELECT lib, b.nb FROM pairs p JOIN b2 a ON a.frag_id = p.id1 JOIN b2 b ON b.frag_id = p.id2) SELECT nb AS region_id, any_value(chr) AS chr, {', '.join(f'(SELECT count(*) FROM e WHERE e.nb = b2.nb AND lib = {chr(39)}{x}{chr(39)}) AS c_{x}' for x in LIBS)} FROM b2 GROUP BY nb")
+def a3_margin_counts_restricted(spark, sf_dir):
+    out = counts.margin_counts(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir, restrict=("chr2", "chr4")), LIBS, demo.WIDTH, restrict_regions=True)
     return slots(out.select("region_id", "chr", "counts"))
 
 
 @query(f"{_NEAR}{_ENDS} SELECT region_id, " + ", ".join(f"CAST(coalesce((SELECT sum(c_{x}) FROM ends WHERE {mine} = region_id AND chr1 = chr2 AND a1 - a2 BETWEEN 1 AND 3), 0) AS BIGINT) AS {side}_{x}" for side, mine in (("up", "a2"), ("down", "a1")) for x in LIBS) + " FROM reg")
 def a5_domain_directions(spark, sf_dir):
-    out = counts.domain_directions(demo.pairs(spark, sf_dir, near=True), demo.param(spark, sf_dir), LIBS, demo.width(spark, sf_dir), span=3)
+    out = counts.domain_directions(demo.pairs(spark, sf_dir, near=True), demo.param(spark, sf_dir), LIBS, demo.WIDTH, span=3)
     return slots(slots(out.select("region_id", "up", "down"), "up", "up_"), "down", "down_")
 
 
@@ -195,7 +223,13 @@ _PATCH = " SELECT a1, a2, total AS count, NOT (chr1 = 'chr1' AND s1 <= 300000 AN
 
 @query(f"{_CELLS}{_ENDS}{_PATCH}")
 def a2_extract_patch(spark, sf_dir):
-    return counts.extract_patch(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), ("chr1", 1, 300000), ("chr1", 200000, 900000), demo.width(spark, sf_dir))
+    return counts.extract_patch(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), ("chr1", 1, 300000), ("chr1", 200000, 900000), demo.WIDTH)
+
+
+@query(f"{_TWO_CHROMOSOMES}, rb AS (SELECT nb, min(chr) AS chr, min(s) AS s, max(e) AS e FROM b2 GROUP BY nb), c AS (SELECT a.nb AS a1, b.nb AS a2, count(*) AS count FROM pairs p JOIN b2 a ON a.frag_id = p.id1 JOIN b2 b ON b.frag_id = p.id2 GROUP BY 1, 2) SELECT a1, a2, count, x.chr <> 'chr2' AS flipped FROM c JOIN rb x ON x.nb = a1 JOIN rb y ON y.nb = a2 WHERE x.chr = 'chr4' AND y.chr = 'chr2' AND y.s <= 400000 AND y.e >= 100000 AND x.s <= 500000 AND x.e >= 50000")
+def a2_extract_patch_restricted(spark, sf_dir):
+    """Between chromosomes, asked for the other way round than they are stored, over their bins alone."""
+    return counts.extract_patch(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), ("chr2", 100000, 400000), ("chr4", 50000, 500000), demo.WIDTH, restrict_regions=True)
 
 
 _LEN = ", lens AS (SELECT chr, chr_idx, max(e) AS len FROM frag GROUP BY ALL), dn AS (SELECT *, sum(nb) OVER (ORDER BY chr_idx) - nb AS shift FROM (SELECT *, ceil(len * 1.0 / (SELECT width FROM n)) AS nb FROM lens))"
@@ -209,7 +243,7 @@ def _lengths(spark, sf_dir):
 @query(f"{_LEN}, b AS (SELECT lib, {_BIN5.format(i=1)} AS x, {_BIN5.format(i=2)} AS y FROM pairs JOIN dn d1 ON d1.chr = chr1 JOIN dn d2 ON d2.chr = chr2) SELECT greatest(x, y) AS a1, least(x, y) AS a2, {SLOTS} FROM b GROUP BY 1, 2")
 def a1_square_counts_dnase(spark, sf_dir):
     param = PairParam(chromosomes=_lengths(spark, sf_dir))
-    return slots(counts.square_counts(demo.pairs(spark, sf_dir), param, LIBS, demo.width(spark, sf_dir)).pairs)
+    return slots(counts.square_counts(demo.pairs(spark, sf_dir), param, LIBS, demo.WIDTH).pairs)
 
 
 _NB = """, placed AS (SELECT c.*, r.chr_idx AS c1, q.chr_idx AS c2, a1 - r.f AS rw, a2 - q.f AS cl, r.sz AS n1, q.sz AS n2 FROM cells c
@@ -231,7 +265,7 @@ def _neighborhood(spark, sf_dir):
 
 def _one_library(spark, sf_dir):
     p = demo.pairs(spark, sf_dir, near=True).withColumn("lib", F.lit("all"))
-    data = counts.square_counts(p, demo.param(spark, sf_dir), ("all",), demo.width(spark, sf_dir))
+    data = counts.square_counts(p, demo.param(spark, sf_dir), ("all",), demo.WIDTH)
     return durable(data.pairs), durable(data.regions), data.libraries, data.totals, data.width
 
 
@@ -245,7 +279,7 @@ def a7_enriched_pairs(spark, sf_dir):
 @query(f"{_NEAR}{_NB} SELECT a1, a2, total, {_NB_SELECT} FROM placed p WHERE total >= 20")
 def a6_neighbor_counts(spark, sf_dir):
     p = demo.pairs(spark, sf_dir, near=True).withColumn("lib", F.lit("all"))
-    out = neighbors.neighbor_counts(p, demo.param(spark, sf_dir), ("all",), demo.width(spark, sf_dir), 20, 2, 1).pairs
+    out = neighbors.neighbor_counts(p, demo.param(spark, sf_dir), ("all",), demo.WIDTH, 20, 2, 1).pairs
     first = lambda c: F.get(c, F.lit(0)).alias("total" if c == "counts" else c)
     return out.select("a1", "a2", first("counts"), *[x for m in neighbors.MODES for x in (first(f"n_{m}"), f"area_{m}")])
 
@@ -292,14 +326,65 @@ def j1a_stretched_regions(spark, sf_dir):
 
 
 @query(
-    f"""{_REGIONS}, pr AS (SELECT row_number() OVER () AS k, * FROM near WHERE chr1 = 'chr1' AND chr2 = 'chr1'), num AS (SELECT *, row_number() OVER (ORDER BY chr, rs, re, original) AS region_id FROM rg),
+    f"""{_REGIONS}, pr AS (SELECT row_number() OVER () AS k, * FROM near), num AS (SELECT *, row_number() OVER (ORDER BY chr, rs, re, original) AS region_id FROM rg),
     lk AS (SELECT DISTINCT k, lib, greatest(x.region_id, y.region_id) AS a1, least(x.region_id, y.region_id) AS a2 FROM pr JOIN num x ON x.chr = chr1 AND pos1 <= x.re AND pos1 + abs(len1) - 1 >= x.rs JOIN num y ON y.chr = chr2 AND pos2 <= y.re AND pos2 + abs(len2) - 1 >= y.rs) SELECT a1, a2, {SLOTS} FROM lk GROUP BY 1, 2"""
 )
 def j1_connect_counts_dnase(spark, sf_dir):
-    param = PairParam(chromosomes=_lengths(spark, sf_dir), restrict=("chr1",))
+    param = PairParam(chromosomes=_lengths(spark, sf_dir))
     return slots(counts.connect_counts(demo.pairs(spark, sf_dir, near=True), param, durable(_user_regions(spark, sf_dir)), LIBS).pairs)
 
 
+_TWO = ", r2 AS (SELECT row_number() OVER (ORDER BY frag_id) AS original, chr, s - 300 AS rs, s + 1800 AS re FROM frag WHERE frag_id % 17 = 0)"
+_ONE_IN_EACH = "SELECT DISTINCT k, lib, greatest(x.region_id, y.region_id) AS a1, least(x.region_id, y.region_id) AS a2 FROM pr JOIN tch x ON x.frag_id = id1 JOIN tch y ON y.frag_id = id2 WHERE x.st <> y.st"
+
+
+@query(
+    f"""{_REGIONS}{_TWO}, al AS (SELECT 1 AS st, * FROM rg UNION ALL SELECT 2, * FROM r2), st AS (SELECT al.st, original, chr_idx, min(f.s) AS s, max(f.e) AS e FROM al JOIN frag f ON f.chr = al.chr AND f.s <= re AND f.e >= rs GROUP BY ALL),
+    num AS (SELECT *, row_number() OVER (ORDER BY chr_idx, s, e, st, original) AS region_id FROM st), tch AS (SELECT num.st, region_id, frag_id FROM num JOIN al USING (st, original) JOIN frag f ON f.chr = al.chr AND f.s <= re AND f.e >= rs),
+    pr AS (SELECT row_number() OVER () AS k, lib, id1, id2 FROM near), lk AS ({_ONE_IN_EACH}) SELECT a1, a2, {SLOTS} FROM lk GROUP BY 1, 2"""
+)
+def j1_connect_two_sets(spark, sf_dir):
+    other = demo.fragments(spark, sf_dir).filter("frag_id % 17 = 0").select((F.col("frag_id") / 17).cast("long").alias("original"), "chr", (F.col("start") - 300).alias("start"), (F.col("start") + 1800).alias("end"))
+    return slots(counts.connect_counts(demo.pairs(spark, sf_dir, near=True), demo.param(spark, sf_dir), durable(_user_regions(spark, sf_dir)), LIBS, second=durable(other)).pairs)
+
+
+_RESTRICTED = """, al AS (SELECT * FROM rg WHERE chr IN ('chr2', 'chr3')), bn AS (SELECT * FROM reg WHERE chr IN ('chr2', 'chr3')), st AS (SELECT 1 AS st, original AS key, original, chr_idx, min(f.s) AS s, max(f.e) AS e, count(*) AS nf FROM al JOIN frag f ON f.chr = al.chr AND f.s <= re AND f.e >= rs GROUP BY original, chr_idx UNION ALL SELECT 2, region_id, NULL, chr_idx, s, e, nfrags FROM bn),
+    num AS (SELECT *, row_number() OVER (ORDER BY chr_idx, s, e, st, key) AS region_id FROM st)"""
+
+
+@query(
+    f"""{_REGIONS}{_RESTRICTED}, tch AS (SELECT st, region_id, frag_id FROM num JOIN al ON st = 1 AND al.original = key JOIN frag f ON f.chr = al.chr AND f.s <= re AND f.e >= rs UNION ALL SELECT 2, num.region_id, frag_id FROM num JOIN bin ON st = 2 AND bin.bin = key),
+    pr AS (SELECT row_number() OVER () AS k, lib, id1, id2 FROM near WHERE chr1 IN ('chr2', 'chr3') AND chr2 IN ('chr2', 'chr3')), lk AS ({_ONE_IN_EACH}) SELECT a1, a2, {SLOTS} FROM lk GROUP BY 1, 2"""
+)
+def j1_connect_to_bins(spark, sf_dir):
+    """Regions against the genome's bins, on two chromosomes."""
+    param = demo.param(spark, sf_dir, restrict=("chr2", "chr3"))
+    return slots(counts.connect_counts(demo.pairs(spark, sf_dir, near=True), param, durable(_user_regions(spark, sf_dir)), LIBS, second=demo.WIDTH, restrict_regions=True).pairs)
+
+
+@query(f"{_REGIONS}{_RESTRICTED} SELECT region_id, original, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", nf AS nfrags FROM num")
+def j1c_restricted_regions(spark, sf_dir):
+    param = demo.param(spark, sf_dir, restrict=("chr2", "chr3"))
+    data = counts.connect_counts(demo.pairs(spark, sf_dir, near=True), param, durable(_user_regions(spark, sf_dir)), LIBS, second=demo.WIDTH, restrict_regions=True)
+    return data.regions.select("region_id", "original", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "nfrags")
+
+
+_FEATURES = ", ft AS (SELECT chr, s, e, 'g' || (frag_id % 97) AS name FROM frag WHERE frag_id % 3 = 0)"
+
+
+def _features(spark, sf_dir):
+    return demo.fragments(spark, sf_dir).filter("frag_id % 3 = 0").select("chr", "start", "end", F.concat(F.lit("g"), (F.col("frag_id") % 97).cast("string")).alias("name"))
+
+
+@query(
+    f"""{_CELLS}{_ENDS}{_FEATURES}, bx AS (SELECT (a1 * 7 + a2) % 41 AS key, * FROM ends WHERE total >= 6), nm AS (SELECT DISTINCT key, i, name FROM (SELECT key, 1 AS i, chr1 AS c, s1 AS s, e1 AS e FROM bx UNION ALL SELECT key, 2, chr2, s2, e2 FROM bx) b JOIN ft ON ft.chr = b.c AND ft.s <= b.e AND ft.e >= b.s)
+    SELECT key, {', '.join(f"coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM nm WHERE nm.key = k.key AND i = {i}), '') AS names{i}" for i in (1, 2))} FROM (SELECT DISTINCT key FROM bx) k"""
+)
+def j6_annotate_pairs(spark, sf_dir):
+    ends = filters.with_ends(_square(spark, sf_dir, least=6)).withColumn("key", (F.col("a1") * 7 + F.col("a2")) % 41)
+    return results.annotate_pairs(durable(ends), _features(spark, sf_dir), "key")
+
+
 @query(
     f"""{_REGIONS}, ft AS (SELECT chr, s, e, 'g' || (frag_id % 97) AS name FROM frag WHERE frag_id % 3 = 0)
     SELECT original, coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT DISTINCT name FROM ft WHERE ft.chr = rg.chr AND ft.s <= re AND ft.e >= rs)), '') AS names FROM rg"""
@@ -309,13 +394,14 @@ def j6_annotate(spark, sf_dir):
     return results.annotate_regions(_user_regions(spark, sf_dir), features, "original")
 
 
-_J3 = ", rd AS (SELECT row_number() OVER () AS k, chr1 AS chr, CASE WHEN len1 < 0 THEN pos1 - len1 - 1 ELSE pos1 END AS five, len1 < 0 AS rev FROM pairs), fw AS (SELECT rd.chr, rev, five, frag_id FROM rd ASOF JOIN frag f ON rd.chr = f.chr AND five >= f.s WHERE NOT rev), rv AS (SELECT rd.chr, rev, five, frag_id FROM rd ASOF JOIN frag f ON rd.chr = f.chr AND five <= f.e WHERE rev)"
+_J3 = ", rd AS (SELECT chr1 AS chr, CASE WHEN len1 < 0 THEN pos1 - len1 - 1 ELSE pos1 END AS five, len1 < 0 AS rev FROM pairs UNION ALL SELECT chr2, CASE WHEN len2 < 0 THEN pos2 - len2 - 1 ELSE pos2 END, len2 < 0 FROM pairs), fw AS (SELECT rd.chr, rev, five, frag_id FROM rd ASOF JOIN frag f ON rd.chr = f.chr AND five >= f.s WHERE NOT rev), rv AS (SELECT rd.chr, rev, five, frag_id FROM rd ASOF JOIN frag f ON rd.chr = f.chr AND five <= f.e WHERE rev)"
 
 
 @query(f"{_J3} SELECT chr, rev, frag_id, count(*) AS n FROM (FROM fw UNION ALL FROM rv) GROUP BY ALL")
 def j3_assign_fragments(spark, sf_dir):
     p = demo.pairs(spark, sf_dir)
-    reads = p.select(F.col("chr1").alias("chr"), five_prime(F.col("anchor1_pos"), F.col("anchor1_len")).alias("five"), (F.col("anchor1_len") < 0).alias("reverse"))
+    ends = [F.struct(F.col(f"chr{i}").alias("chr"), five_prime(F.col(f"anchor{i}_pos"), F.col(f"anchor{i}_len")).alias("five"), (F.col(f"anchor{i}_len") < 0).alias("reverse")) for i in (1, 2)]
+    reads = p.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
     out = alignments.assign_fragments(reads, demo.fragments(spark, sf_dir))
     return out.groupBy("chr", F.col("reverse").alias("rev"), "frag_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -347,10 +433,35 @@ def f15_abundance(spark, sf_dir):
     return data.pairs.select("a1", "a2", F.round(abundance(F.col("counts"), _totals(data)), 6).alias("abundance"))
 
 
+def _newton_sql(prior: float, steps: int = 12) -> str:
+    """The negative-binomial mean of three libraries by Newton steps, one subquery a step."""
+    sizes = "SELECT " + ", ".join(f"(SELECT count(*) FROM near WHERE lib = '{x}')::DOUBLE AS t_{x}" for x in LIBS)
+    mean = "((" + " + ".join(f"t_{x}" for x in LIBS) + ") / 3)"
+    base = "SELECT a1, a2, " + ", ".join(f"c_{x} + {prior} * t_{x} / {mean} AS y_{x}, t_{x} + 2 * {prior} * t_{x} / {mean} AS s_{x}" for x in LIBS) + f" FROM cells, ({sizes}) z"
+    out = "SELECT *, ln((" + " + ".join(f"y_{x}" for x in LIBS) + ") / (" + " + ".join(f"s_{x}" for x in LIBS) + f")) AS b FROM ({base}) q"
+    for _ in range(steps):
+        up = " + ".join(f"(y_{x} - s_{x} * exp(b)) / (1 + 0.05 * s_{x} * exp(b))" for x in LIBS)
+        down = " + ".join(f"s_{x} * exp(b) / (1 + 0.05 * s_{x} * exp(b))" for x in LIBS)
+        out = f"SELECT * REPLACE (b + ({up}) / ({down}) AS b) FROM ({out}) q"
+    return out
+
+
+@query(f"{_NEAR}, nw AS ({_newton_sql(2.0)}) SELECT a1, a2, round((b + ln(1e6)) / ln(2), 6) AS abundance FROM nw")
+def f15_abundance_of_libraries(spark, sf_dir):
+    data = _square(spark, sf_dir, near=True)
+    return data.pairs.select("a1", "a2", F.round(abundance(F.col("counts"), _totals(data)), 6).alias("abundance"))
+
+
+@query(f"{_NEAR}, z AS (SELECT " + ", ".join(f"(SELECT count(*) FROM near WHERE lib = '{x}')::DOUBLE AS t_{x}" for x in LIBS) + ") SELECT a1, a2, round(total / ((" + " + ".join(f"t_{x}" for x in LIBS) + ") / ((" + " + ".join(f"t_{x}" for x in LIBS) + ") / 3)), 9) AS mean FROM cells, z")
+def a13_mean_of_libraries(spark, sf_dir):
+    data = _square(spark, sf_dir, near=True)
+    return normalize.mean_counts(data, _totals(data)).select("a1", "a2", F.round("mean", 9).alias("mean"))
+
+
 @query(f"{_CELLS}{_ENDS}, sc AS (SELECT *, log2((total + 2.0) / ((SELECT sum(total) FROM cells) + 4.0) * 1e6) AS ab FROM ends), z AS (SELECT chr_idx, count(*) AS k FROM reg GROUP BY 1), pos AS (SELECT greatest(1, sum(k) * (sum(k) + 1) / 2 - sum(k * (k + 1) / 2)) AS p FROM z), sh AS (SELECT count(*) / (SELECT p FROM pos) AS q FROM sc WHERE chr1 <> chr2), v AS (SELECT list_sort(list(ab)) AS l, CASE WHEN (SELECT q FROM sh) >= 1 THEN 0.5 ELSE 1 - 0.5 / (SELECT q FROM sh) END AS q FROM sc WHERE chr1 <> chr2), h AS (SELECT l, (len(l) - 1) * q AS h FROM v) SELECT round(CASE WHEN (SELECT q FROM sh) < 0.5 THEN log2(2.0 / ((SELECT sum(total) FROM cells) + 4.0) * 1e6) ELSE (SELECT l[CAST(floor(h) AS INT) + 1] + (h - floor(h)) * (l[CAST(ceil(h) AS INT) + 1] - l[CAST(floor(h) AS INT) + 1]) FROM h) END, 6) AS threshold")
 def f7_filter_direct(spark, sf_dir):
     p = demo.pairs(spark, sf_dir).withColumn("lib", F.lit("all"))
-    data = counts.square_counts(p, demo.param(spark, sf_dir), ("all",), demo.width(spark, sf_dir))
+    data = counts.square_counts(p, demo.param(spark, sf_dir), ("all",), demo.WIDTH)
     threshold = filters.filter_direct(data, _totals(data))[1]
     return spark.range(1).select(F.round(F.lit(threshold), 6).alias("threshold"))
 
@@ -390,7 +501,7 @@ def a10_consolidate(spark, sf_dir):
 def j7_nest_boxes(spark, sf_dir):
     from pyspark.sql import Window
 
-    names = counts.bin_regions(counts.fragment_bins(demo.fragments(spark, sf_dir), demo.width(spark, sf_dir))).select("chr").distinct()
+    names = counts.bin_regions(counts.fragment_bins(demo.fragments(spark, sf_dir), demo.WIDTH)).select("chr").distinct()
     parents = names.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("region_id", F.row_number().over(Window.orderBy("chr", "i")).cast("long"))
     parents = parents.select("region_id", "chr", (F.col("i") * 200000 + 1).alias("start"), ((F.col("i") + 1) * 200000 + 60000).alias("end"))
     out = results.nest_boxes(_tests(spark, sf_dir), parents, smallest=True)
@@ -413,14 +524,22 @@ def a8_bounding_boxes(spark, sf_dir):
     return results.bounding_boxes(out).withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
-@query()
+_COMPONENTS = f"e AS (SELECT x.box_id AS a, y.box_id AS b FROM v x JOIN v y ON {_LINK}), cc AS (WITH RECURSIVE r AS (SELECT box_id, box_id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.box_id) SELECT box_id, min(root) AS root FROM r GROUP BY 1)"
+_CUT = "floor(((s{i} + e{i} + 1) / 2.0 - l{i}) / (n{i} / p{i}))"
+
+
+@query(
+    f"""{_CELLS}{_ENDS}{_TESTS}, v AS (SELECT * FROM t WHERE p < 0.3), {_COMPONENTS}, o AS (SELECT cc.root, v.*, min(s1) OVER w AS l1, max(e1 + 1) OVER w - min(s1) OVER w AS n1, min(s2) OVER w AS l2, max(e2 + 1) OVER w - min(s2) OVER w AS n2 FROM cc JOIN v USING (box_id) WINDOW w AS (PARTITION BY root)),
+    q AS (SELECT *, CASE WHEN n1 > 150000 THEN floor(n1 / 150000.0 + 0.5) ELSE 1.0 END AS p1, CASE WHEN n2 > 150000 THEN floor(n2 / 150000.0 + 0.5) ELSE 1.0 END AS p2 FROM o), g AS (SELECT box_id, root, {_CUT.format(i=1)} * p2 + {_CUT.format(i=2)} AS cell FROM q)
+    SELECT box_id, dense_rank() OVER (ORDER BY lead) AS cluster_id FROM (SELECT box_id, min(box_id) OVER (PARTITION BY root, cell) AS lead FROM g)"""
+)
 def c1a_split_clusters(spark, sf_dir):
-    return results.cluster_boxes(_tests(spark, sf_dir).filter("p_value < 0.3"), tol=1, upper=150000).select("box_id", "cluster_id")
+    return results.cluster_boxes(_tests(spark, sf_dir).filter("p_value < 0.3"), tol=1, upper=150000).select("box_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
 @query()
 def c2_significant_clusters(spark, sf_dir):
-    return results.significant_clusters(_tests(spark, sf_dir), target=0.3, rounds=1, grid=5)[0].select("box_id", "cluster_id")
+    return results.significant_clusters(_tests(spark, sf_dir), target=0.3)[0].select("box_id", "cluster_id")
 
 
 # ---- normalisation ----------------------------------------------------------------------------------------
@@ -438,17 +557,53 @@ def n1_corrected_contacts(spark, sf_dir):
     return out.filter("truth is not null").select("a1", "a2", F.round("truth", 5).alias("truth"))
 
 
-@query()
+def _correction_sql(weights: str, low: float = 0.02, high: float = 0.02, rounds: int = 50) -> str:
+    """Whole correction of (a1, a2, w, local): winsorised, bins of least coverage dropped, then the rounds."""
+    out = f""", all0 AS MATERIALIZED ({weights}), u0 AS MATERIALIZED (SELECT a1, a2, w FROM all0 WHERE NOT local),
+    u1 AS MATERIALIZED (SELECT a1, a2, CASE WHEN k > 0 THEN least(w, top) ELSE w END AS w FROM u0, (SELECT floor(count(*) * {high}) AS k FROM u0), (SELECT min(w) AS top FROM (SELECT w, row_number() OVER (ORDER BY w DESC) AS r FROM u0) WHERE r <= (SELECT floor(count(*) * {high}) + 1 FROM u0))),
+    cv AS MATERIALIZED (SELECT bin, row_number() OVER (ORDER BY sum(w), bin) AS r FROM (SELECT a1 AS bin, w FROM u1 UNION ALL SELECT a2, w FROM u1) GROUP BY bin),
+    lo AS MATERIALIZED (SELECT bin FROM cv WHERE r <= (SELECT floor(count(*) * {low}) FROM cv)),
+    w0 AS MATERIALIZED (SELECT * FROM u1 WHERE a1 NOT IN (FROM lo) AND a2 NOT IN (FROM lo)),
+    b0 AS MATERIALIZED (SELECT DISTINCT bin, 1.0::DOUBLE AS b FROM (SELECT a1 AS bin FROM w0 UNION ALL SELECT a2 FROM w0))"""
+    for k in range(1, rounds + 1):
+        out += _round_sql(k).replace(f"c{k} AS (", f"c{k} AS MATERIALIZED (").replace(f"b{k} AS (", f"b{k} AS MATERIALIZED (")
+    return out
+
+
+@query(f"{_NEAR}{_ENDS}{_correction_sql('SELECT a1, a2, CAST(total AS DOUBLE) AS w, chr1 = chr2 AND a1 - a2 <= 1 AS local FROM ends')} SELECT a.a1, a.a2, a.w AS mean, round(a.w / (x.b * y.b), 5) AS truth FROM all0 a LEFT JOIN b50 x ON x.bin = a.a1 LEFT JOIN b50 y ON y.bin = a.a2")
 def n1_corrected_contacts_full(spark, sf_dir):
+    """With the operator's own options."""
     data = _neighborhood(spark, sf_dir)
-    return normalize.corrected_contacts(normalize.mean_counts(data, _totals(data)), data.regions, iterations=5)[0]
+    out = normalize.corrected_contacts(normalize.mean_counts(data, _totals(data)), data.regions)[0]
+    return out.select("a1", "a2", "mean", F.round("truth", 5).alias("truth"))
+
+
+_LIBRARY_TRUTH = " UNION ALL ".join(
+    f"(WITH ends AS (FROM ends){_correction_sql(f'SELECT a1, a2, CAST(c_{x} AS DOUBLE) AS w, chr1 = chr2 AND a1 - a2 <= 1 AS local FROM ends WHERE c_{x} > 0', rounds=8)} SELECT '{x}' AS lib, a.a1, a.a2, round(a.w / (x.b * y.b), 5) AS truth FROM all0 a LEFT JOIN b8 x ON x.bin = a.a1 LEFT JOIN b8 y ON y.bin = a.a2)"
+    for x in LIBS
+)
+
+
+@query(f"{_NEAR}{_ENDS} FROM ({_LIBRARY_TRUTH})")
+def n1_corrected_by_library(spark, sf_dir):
+    """Every library by itself; eight rounds."""
+    data = _square(spark, sf_dir, near=True)
+    data = data.with_pairs(durable(data.pairs))
+    out = normalize.corrected_interactions(data, _totals(data), average=False, iterations=8)[0]
+    return out.select("lib", "a1", "a2", F.round("truth", 5).alias("truth"))
+
+
+@query()
+def n1_corrected_for_distance(spark, sf_dir):
+    data = _neighborhood(spark, sf_dir)
+    return normalize.corrected_interactions(data, _totals(data), dist_correct=True)[0]
 
 
 @query()
 def n2_copy_number_offsets(spark, sf_dir):
     data = _square(spark, sf_dir, least=5)
     data = data.with_pairs(durable(data.pairs))
-    margins = durable(counts.margin_counts(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), LIBS, demo.width(spark, sf_dir)))
+    margins = durable(counts.margin_counts(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), LIBS, demo.WIDTH))
     return slots_double(normalize.copy_number_offsets(data, margins, _totals(data)))
 
 
@@ -483,13 +638,12 @@ def s11_cut_genome(spark, sf_dir):
     return genome.cut_genome(_genome(spark, sf_dir, 20), ["CG"], 2, piece=64)
 
 
-@query(f"{_CELLS}, m AS (SELECT a1, a2, c_A AS x0, c_R AS x1 FROM cells WHERE c_A + c_R >= 3) SELECT a1, a2, x0, x1 FROM m")
+@query(f"{_CELLS}, m AS (SELECT a1, a2, c_A * 0.5 AS x0, c_N * 0.25 AS x1, c_R * 1.0 AS x2 FROM cells) SELECT a1, a2, x0::DOUBLE AS x0, x1::DOUBLE AS x1, x2::DOUBLE AS x2 FROM m WHERE x0 + x1 + x2 >= 3")
 def s10_merge_matrices(spark, sf_dir):
     data = _square(spark, sf_dir)
-    one = data.pairs.select(F.col("a1").alias("row"), F.col("a2").alias("col"), F.get("counts", F.lit(0)).alias("value"))
-    two = data.pairs.select(F.col("a2").alias("row"), F.col("a1").alias("col"), F.get("counts", F.lit(2)).alias("value"))
-    out = matrices.merge_matrices([one, two], data.regions, 3).pairs
-    return out.select("a1", "a2", F.get("counts", F.lit(0)).alias("x0"), F.get("counts", F.lit(1)).alias("x1"))
+    parts = [data.pairs.select(F.col(r).alias("row"), F.col(c).alias("col"), (F.get("counts", F.lit(i)) * x).alias("value")) for i, (r, c, x) in enumerate((("a1", "a2", 0.5), ("a2", "a1", 0.25), ("a1", "a2", 1.0)))]
+    out = matrices.merge_matrices(parts, data.regions, 3).pairs
+    return out.select("a1", "a2", *[F.get("counts", F.lit(i)).alias(f"x{i}") for i in range(3)])
 
 
 _COLOUR = "printf('#%02X%02X%02X', v, v, v)"
@@ -497,30 +651,41 @@ _COLOUR = "printf('#%02X%02X%02X', v, v, v)"
 
 @query(f"{_CELLS}{_ENDS}, pt AS (SELECT *, CAST(round(255 - 255 * least(1.0, total / 20.0)) AS INT) AS v FROM ends WHERE chr1 = 'chr2' AND chr2 = 'chr1' AND s1 <= 500000 AND e1 >= 1 AND s2 <= 400000 AND e2 >= 1) SELECT CAST(s1 - 0.5 AS DOUBLE) AS x0, CAST(e1 + 0.5 AS DOUBLE) AS x1, CAST(s2 - 0.5 AS DOUBLE) AS y0, CAST(e2 + 0.5 AS DOUBLE) AS y1, total AS count, {_COLOUR} AS colour FROM pt")
 def v1_plaid(spark, sf_dir):
-    out = geometry.plaid(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), ("chr2", 1, 500000), ("chr1", 1, 400000), demo.width(spark, sf_dir))
+    out = geometry.plaid(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), ("chr2", 1, 500000), ("chr1", 1, 400000), demo.WIDTH)
     return out.select(*[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")], "count", "colour")
 
 
 @query(f"{_CELLS}{_ENDS} SELECT (s1 - 0.5 + s2 - 0.5) / 2 AS x, CAST(s1 - s2 AS DOUBLE) AS y, total AS count FROM ends WHERE chr1 = 'chr1' AND chr2 = 'chr1' AND s1 <= 500000 AND e1 >= 1 AND s2 <= 500000 AND e2 >= 1")
 def v2_turned(spark, sf_dir):
-    out = geometry.turned(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), ("chr1", 1, 500000), demo.width(spark, sf_dir))
+    out = geometry.turned(demo.pairs(spark, sf_dir), demo.param(spark, sf_dir), ("chr1", 1, 500000), demo.WIDTH)
     corner = F.get("corners", F.lit(0))
     return out.select(corner["x"].cast("double").alias("x"), corner["y"].alias("y"), "count")
 
 
-@query()
+_FC = ", fd AS (SELECT *, (a1 + a2) % 9 - 4.0 AS fc FROM ends)"
+_TWO_SIDED = "CASE WHEN fc >= 0 THEN printf('#FF%02X%02X', CAST(round(255 - 255 * fc / 4.0) AS INT), CAST(round(255 - 255 * fc / 4.0) AS INT)) ELSE printf('#%02X%02XFF', CAST(round(255 + 255 * fc / 4.0) AS INT), CAST(round(255 + 255 * fc / 4.0) AS INT)) END AS colour"
+_BESIDE = "chr{i} = 'chr1' AND s{i} <= 500000 + 25100 AND e{i} >= 1 - 25100"
+
+
+@query(
+    f"{_CELLS}{_ENDS}{_FC}, rw AS ("
+    + " UNION ".join(f"SELECT s{i} - 0.5 AS x0, e{i} + 0.5 AS x1, s{j} - 0.5 AS y0, e{j} + 0.5 AS y1, fc FROM fd WHERE {_BESIDE.format(i=1)} AND {_BESIDE.format(i=2)}" for i, j in ((1, 2), (2, 1)))
+    + f") SELECT CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1, CAST(fc AS DOUBLE) AS fc, {_TWO_SIDED} FROM rw"
+)
 def v3_differential_plaid(spark, sf_dir):
     data = _square(spark, sf_dir)
     fc = data.pairs.select("a1", "a2", (F.pmod(F.col("a1") + F.col("a2"), F.lit(9)) - 4.0).alias("fc"))
-    return geometry.differential_plaid(data, fc, ("chr1", 1, 500000), limit=4.0)
+    out = geometry.differential_plaid(data, fc, ("chr1", 1, 500000), limit=4.0)
+    return out.select(*[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1", "fc")], "colour")
 
 
-@query()
+@query(f"{_CELLS}{_ENDS}{_FC} SELECT CAST((s1 + s2 - 1) / 2.0 AS DOUBLE) AS x, CAST(s1 - s2 AS DOUBLE) AS y, CAST(fc AS DOUBLE) AS fc, {_TWO_SIDED} FROM fd WHERE chr1 = 'chr1' AND chr2 = 'chr1' AND s1 <= 500000 + 280000 AND e2 >= 1 - 280000")
 def v4_differential_turned(spark, sf_dir):
     data = _square(spark, sf_dir)
     fc = data.pairs.select("a1", "a2", (F.pmod(F.col("a1") + F.col("a2"), F.lit(9)) - 4.0).alias("fc"))
     out = geometry.differential_turned(data, fc, ("chr1", 1, 500000), 400000, limit=4.0)
-    return out.select(F.get("corners", F.lit(0))["x"].alias("x"), F.get("corners", F.lit(0))["y"].alias("y"), "fc", "colour")
+    corner = F.get("corners", F.lit(0))
+    return out.select(corner["x"].cast("double").alias("x"), corner["y"].cast("double").alias("y"), F.col("fc").cast("double").alias("fc"), "colour")
 
 
 @query(f"{_CELLS} SELECT a1, a2, lib, CAST(n AS BIGINT) AS count FROM (UNPIVOT cells ON c_A, c_N, c_R INTO NAME lib0 VALUE n), LATERAL (SELECT right(lib0, 1) AS lib)")
@@ -535,7 +700,7 @@ def dge_samples(spark, sf_dir):
 
 @query(" SELECT region_id, region_id AS margin FROM reg")
 def j5_match_margins(spark, sf_dir):
-    bins = durable(counts.bin_regions(counts.fragment_bins(demo.fragments(spark, sf_dir), demo.width(spark, sf_dir))))
+    bins = durable(counts.bin_regions(counts.fragment_bins(demo.fragments(spark, sf_dir), demo.WIDTH)))
     diagonal = bins.select(F.col("region_id").alias("a1"), F.col("region_id").alias("a2"))
     return results.match_margins(diagonal, bins, bins).select(F.col("a1").alias("region_id"), F.col("margin1").alias("margin"))
 

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweft.operators.scan import ORDER, STORED
+from chromaweft.operators.scan import ORDER, STORED, prune_pairs
+from chromaweft.plans.durable import durable
+from chromaweft.plans.param import PairParam
 
 PARTITIONS = ["lib", "chr1", "chr2"]
 OLD_NAMES = {"anchor": "anchor1", "target": "anchor2"}
@@ -71,6 +73,22 @@ def load_pair(store: DataFrame, first: str, second: str) -> tuple[DataFrame, boo
     raise ValueError(f"no pairs between {first} and {second}")
 
 
+def _replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put fresh in the place of path. What was there is moved aside first and deleted last, so that a crash loses nothing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"
+    there = files.exists(hadoop(path))
+    if there and not files.rename(hadoop(path), hadoop(aside)):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(hadoop(fresh), hadoop(path)):
+        if there:
+            files.rename(hadoop(aside), hadoop(path))
+        raise OSError(f"cannot rename {fresh} to {path}")
+    if there:
+        files.delete(hadoop(aside), True)
+
+
 def merge_stores(spark: SparkSession, paths: list[str], path: str) -> None:
     """All pairs of several stores. The result may replace one of them: it is written elsewhere, then renamed."""
     parts = [load_store(spark, p) for p in paths]
@@ -79,8 +97,14 @@ def merge_stores(spark: SparkSession, paths: list[str], path: str) -> None:
         whole = whole.unionByName(p, allowMissingColumns=True)
     fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     save_pairs(whole.select(*PARTITIONS, *STORED, *[c for c in whole.columns if c not in (*PARTITIONS, *STORED)]), fresh)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(hadoop(path), True)
-    if not files.rename(hadoop(fresh), hadoop(path)):
-        raise OSError(f"cannot rename {fresh} to {path}")
+    _replace(spark, fresh, path)
+
+
+def prune_store(spark: SparkSession, path: str, param: PairParam, out: str | None = None, max_frag: int | None = None, min_inward: int | None = None, min_outward: int | None = None) -> DataFrame:
+    """Write the pairs that pass prune_pairs as a store at `out` (at the same path, if none is given); the totals, one row."""
+    kept, totals = prune_pairs(load_store(spark, path), param, max_frag, min_inward, min_outward)
+    totals = durable(totals)
+    fresh = f"{(out or path).rstrip('/')}-{uuid.uuid4().hex}"
+    save_pairs(kept, fresh, param.chromosomes if param.dnase else None)
+    _replace(spark, fresh, out or path)
+    return totals
