@@ -5,7 +5,7 @@ import pytest
 from chromaweft.plans import registry
 from tests import oracle
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -134,7 +134,7 @@ def test_split_clusters(spark):
 def test_streaming_counts_match_batch(spark, tmp_path):
     path = str(tmp_path / "store")
     store.save_pairs(demo.pairs(spark, SF), path)
-    bins = counts.fragment_bins(demo.fragments(spark, SF), demo.width(spark, SF))
+    bins = counts.fragment_bins(demo.fragments(spark, SF), demo.WIDTH)
     run_to_table(streaming_counts(stream_store(spark, path), bins), "live", str(tmp_path / "state")).awaitTermination()
     batch = streaming_counts(store.load_store(spark, path), bins)
     live = spark.table("live")
