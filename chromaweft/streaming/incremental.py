@@ -21,3 +21,19 @@ def streaming_counts(pairs: DataFrame, bins: DataFrame) -> DataFrame:
 def run_to_table(counts: DataFrame, table: str, checkpoint: str):
     """Process what is there, then stop; call again for what came since."""
     return counts.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_store(pairs: DataFrame, bins: DataFrame, path: str, checkpoint: str):
+    """Process what is there, then stop: every batch's counts are a table of their own at `path`, so no state grows with the store.
+
+    A batch that is run again after a crash replaces its own table.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        streaming_counts(batch, bins).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return pairs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_counts(spark: SparkSession, path: str) -> DataFrame:
+    """a1, a2, lib, count over all batches so far."""
+    return spark.read.parquet(path).groupBy("a1", "a2", "lib").agg(F.sum("count").alias("count"))

@@ -10,7 +10,7 @@ from chromaweft.operators import counts, filters, results
 from chromaweft.plans import demo
 from chromaweft.plans.param import Interactions, PairParam
 from chromaweft.sources import alignments, genome, matrices, store
-from chromaweft.streaming.incremental import run_to_table, stream_store, streaming_counts
+from chromaweft.streaming.incremental import run_to_store, run_to_table, stored_counts, stream_store, streaming_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,3 +139,16 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     batch = streaming_counts(store.load_store(spark, path), bins)
     live = spark.table("live")
     assert live.count() and live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+
+
+def test_streaming_counts_in_a_store(spark, tmp_path):
+    path, out, state = (str(tmp_path / x) for x in ("store", "out", "state"))
+    bins = counts.fragment_bins(demo.fragments(spark, SF), 5000)
+    pairs = demo.pairs(spark, SF)
+    store.save_pairs(pairs.filter("lib = 'A'"), path)
+    run_to_store(stream_store(spark, path, 2), bins, out, state).awaitTermination()
+    store.save_pairs(pairs.filter("lib <> 'A'"), path, mode="append")
+    run_to_store(stream_store(spark, path, 2), bins, out, state).awaitTermination()
+    batch = streaming_counts(store.load_store(spark, path), bins)
+    live = stored_counts(spark, out)
+    assert live.count() and live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
