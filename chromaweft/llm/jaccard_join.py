@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from chromaweft.llm import textvec
 from chromaweft.llm.common import discard, materialize
-from chromaweft.llm.graph import connected_components
+from chromaweft.operators.components import connected_components
 
 THRESHOLD = 0.8
 #: A pair at similarity 0.8 shares a band with probability 0.9999.
@@ -227,12 +227,12 @@ def _deal(signed: DataFrame, members: DataFrame) -> DataFrame:
     def parts(n, total):
         return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(total / BLOCK_BYTES)).cast("bigint")
 
-    slim = signed.select("node", "component", "centre", size.alias("size"))
+    slim = signed.select("node", "component", "centre", size.alias("size"), _salt("node").alias("salt"))
     whole = slim.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).select("c", parts(F.col("n"), F.col("total")).alias("blocks"))
-    large = slim.join(whole.filter("blocks > 1"), F.col("component") == F.col("c"))
+    large = slim.join(_spread(whole.filter("blocks > 1"), "s"), (F.col("component") == F.col("c")) & (F.col("salt") == F.col("s"))).drop("s")
     keys = large.groupBy(F.col("c").alias("kc"), F.col("centre").alias("kk")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).select("kc", "kk", parts(F.col("n"), F.col("total")).alias("cuts"))
     block = F.xxhash64("c", "centre", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    blocks = large.join(keys, (F.col("c") == F.col("kc")) & (F.col("centre") == F.col("kk"))).select(F.col("node").alias("bn"), "size", block.alias("block"))
+    blocks = large.join(_spread(keys, "s"), (F.col("c") == F.col("kc")) & (F.col("centre") == F.col("kk")) & (F.col("salt") == F.col("s"))).select(F.col("node").alias("bn"), "size", block.alias("block"))
     blocks = materialize(blocks, "jaccard-blocks")
     # blocks that some band holds together
     held = members.join(blocks, F.col("node") == F.col("bn")).select("band", "block").distinct()

@@ -15,7 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from chromaweft.llm import decontamination, graph, jaccard_join, katz, language_id, quality_lm, quality_rules, queries, secret_scan, sp_codec, textvec, toxicity, warc
+from chromaweft.llm import decontamination, jaccard_join, katz, language_id, quality_lm, quality_rules, queries, secret_scan, sp_codec, textvec, toxicity, warc
 from chromaweft.llm.common import scratch_path
 from tests import oracle
 
@@ -255,21 +255,6 @@ def test_pruning_bounds():
         assert tail >= 1e-4 > before
 
 
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(30)] + [(50, 51), (7, 7)]
-    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
-
-
-def test_components_of_a_long_path(spark):
-    rng = np.random.default_rng(5)
-    name = rng.permutation(201).tolist()
-    path = spark.createDataFrame(list(zip(name, name[1:])), "a long, b long")
-    assert {r["component"] for r in graph.connected_components(path).collect()} == {0}
-    with pytest.raises(RuntimeError, match="2 rounds"):
-        graph.connected_components(path, max_rounds=2)
-
-
 def test_a_chain_of_near_copies(spark, monkeypatch):
     """Neighbours in the chain are linked, others are not; the chain is cut into many blocks, few of which are compared."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
