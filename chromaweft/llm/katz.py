@@ -8,6 +8,9 @@ discounted counts reserves one count more. The model's log probability of a text
 seen bigrams directly, others by the history's backoff weight times the unigram probability, unknown words by the
 unigrams' remaining mass.
 
+Histories are one word: trigrams would be asked and answered in the same way, but by a measurement of their packed questions and answers they
+take 3.6 times the input of disk more (see the README).
+
 Layout. Texts become batches of token numbers, stored once in the shared folder. Batches ask word shards (ranges of a
 64-bit hash) for number and training count of their distinct words, then ask bigram shards for the counts of
 their distinct bigrams and what backoff weights need; shards are tables partitioned by number. Both
@@ -37,8 +40,10 @@ HOT = 1000
 BATCH_BYTES = 12 << 20
 #: Tokens per shard.
 SHARD_TOKENS = 2_000_000
+#: Tokens per task of a shuffle.
+TASK_TOKENS = 4_000_000
 END = np.uint64(0x0123456789ABCDEF)
-BOS = np.uint64(0xFFFFFFFF)
+BOS = np.uint64(0xFFFFFFFFFFFFFFFF)
 _codec = pa.Codec("zstd", 3)
 
 
@@ -141,14 +146,12 @@ def _answer_words(shards: int):
         word, place = np.unique(flat, return_inverse=True) if len(flat) < 1000 else _unique(flat)
         count = np.bincount(place, np.concatenate([unpack(r["b"], r["n"], np.uint32) for r in rows]), len(word)).astype(np.int64)
         shard = rows[0]["shard"]
-        number = np.arange(len(word), dtype=np.uint32) * np.uint32(shards) + np.uint32(shard)
-        if len(word) * shards >= 0xFFFFFFFF:
-            raise ValueError("more words than 32-bit numbers")
+        number = np.arange(len(word), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
         out, at = [], 0
         for r in rows:
             mine = place[at : at + r["n"]]
             at += r["n"]
-            out.append((r["batch"], WORD_REPLY, shard, r["n"], 0, pack(number[mine]), pack(count[mine].astype(np.uint32))))
+            out.append((r["batch"], WORD_REPLY, shard, r["n"], 0, pack(number[mine]), pack(count[mine])))
         tally = np.concatenate([_counts_of_counts(count), [(count > 0).sum(), count.sum()]]).astype(np.int64)
         out.append((0, COUNTS, shard, len(tally), 0, tally.tobytes()))
         return _table(out)
@@ -202,15 +205,16 @@ def _words_of(rows: list[dict]) -> tuple[dict, np.ndarray, np.ndarray]:
     """The batch row, and number and training count of its words, in order."""
     batch = next(r for r in rows if r["kind"] == BATCH)
     replies = sorted((r for r in rows if r["kind"] == WORD_REPLY), key=lambda r: r["shard"])
-    number = np.concatenate([unpack(r["a"], r["n"], np.uint32) for r in replies])
-    count = np.concatenate([unpack(r["b"], r["n"], np.uint32) for r in replies]).astype(np.int64)
+    number = np.concatenate([unpack(r["a"], r["n"], np.uint64) for r in replies])
+    count = np.concatenate([unpack(r["b"], r["n"], np.int64) for r in replies])
     return batch, number, count
 
 
 def _bigrams(batch: dict, number: np.ndarray, count: np.ndarray, starts: int, unigrams: Unigrams, shards: int):
-    """Tokens' words and training flags, distinct bigrams (sorted by shard and bigram), each token's bigram, the cuts of the shards."""
+    """Texts' lengths, training flags, tokens' words and their histories' counts; histories and words of the distinct bigrams (sorted by
+    shard and bigram), each token's bigram, the cuts of the shards."""
     length, learn, local = _open(batch)
-    token = number[local].astype(np.uint64)
+    token = number[local]
     history = np.empty_like(token)
     history[1:] = token[:-1]
     first = np.cumsum(length) - length
@@ -218,48 +222,46 @@ def _bigrams(batch: dict, number: np.ndarray, count: np.ndarray, starts: int, un
     times = np.empty(len(local), np.int64)
     times[1:] = count[local[:-1]]
     times[first] = starts
-    key = history << np.uint64(32) | token
-    mixed = textvec.mix(np.where(times * HOT > unigrams.n, key, history))
-    shard = shard_of(mixed, shards)
-    order = np.lexsort((key, shard))
-    sk, ss = key[order], shard[order]
-    new = np.concatenate([[True], sk[1:] != sk[:-1]])  # a bigram has one shard
-    place = np.empty(len(key), np.int64)
+    shard = shard_of(textvec.mix(np.where(times * HOT > unigrams.n, textvec.mix(history) + token, history)), shards).astype(np.int32)
+    order = np.lexsort((token, history, shard))
+    token, history, shard = token[order], history[order], shard[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (history[1:] != history[:-1])])  # a bigram has one shard
+    place = np.empty(len(local), np.int64)
     place[order] = np.cumsum(new) - 1
-    return length, learn, local, times, sk[new], place, np.searchsorted(ss[new], np.arange(shards + 1))
+    return length, learn, local, times, history[new], token[new], place, np.searchsorted(shard[new], np.arange(shards + 1))
 
 
 def _ask_bigrams(starts: int, unigrams: Unigrams, shards: int):
     def run(table: pa.Table) -> pa.Table:
         batch, number, count = _words_of(table.to_pylist())
-        _, learn, local, _, key, place, cut = _bigrams(batch, number, count, starts, unigrams, shards)
-        times = np.bincount(place[learn], minlength=len(key)).astype(np.uint32)
-        word_count = np.empty(len(key), np.uint32)
+        _, learn, local, _, history, word, place, cut = _bigrams(batch, number, count, starts, unigrams, shards)
+        times = np.bincount(place[learn], minlength=len(word)).astype(np.uint32)
+        word_count = np.empty(len(word), np.int64)
         word_count[place] = count[local]
         rows = []
         for s, (a, b) in enumerate(zip(cut, cut[1:])):
             if b > a:
-                h, w = (key[a:b] >> np.uint64(32)).astype(np.uint32), key[a:b].astype(np.uint32)
-                rows.append((batch["batch"], BIGRAMS, s, b - a, 0, pack(np.diff(h, prepend=np.uint32(0))), pack(w), pack(times[a:b]), pack(word_count[a:b])))
+                rows.append((batch["batch"], BIGRAMS, s, b - a, 0, pack_sorted(history[a:b]), pack(word[a:b]), pack(times[a:b]), pack(word_count[a:b])))
         return _table(rows)
 
     return run
 
 
-def _keys(r: dict) -> np.ndarray:
-    h = np.cumsum(unpack(r["a"], r["n"], np.uint32), dtype=np.uint32).astype(np.uint64)
-    return h << np.uint64(32) | unpack(r["b"], r["n"], np.uint32).astype(np.uint64)
-
-
 def _answer_bigrams(unigrams: Unigrams, hot: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        flat = np.concatenate([_keys(r) for r in rows])
-        key, place = _unique(flat)
-        count = np.bincount(place, np.concatenate([unpack(r["c"], r["n"], np.uint32) for r in rows]), len(key)).astype(np.int64)
-        word_count = np.empty(len(key), np.uint32)
-        word_count[place] = np.concatenate([unpack(r["d"], r["n"], np.uint32) for r in rows])
-        history = (key >> np.uint64(32)).astype(np.uint32)
+        history = np.concatenate([unpack_sorted(r["a"], r["n"], np.uint64) for r in rows])
+        word = np.concatenate([unpack(r["b"], r["n"], np.uint64) for r in rows])
+        order = np.lexsort((word, history))
+        history, word = history[order], word[order]
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (history[1:] != history[:-1])])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        history, n = history[new], int(new.sum())
+        del word, order
+        count = np.bincount(place, np.concatenate([unpack(r["c"], r["n"], np.uint32) for r in rows]), n).astype(np.int64)
+        word_count = np.empty(n, np.int64)
+        word_count[place] = np.concatenate([unpack(r["d"], r["n"], np.int64) for r in rows])
         new = np.concatenate([[True], history[1:] != history[:-1]])
         of, owners = np.cumsum(new) - 1, history[new]
         seen = count > 0
@@ -274,8 +276,8 @@ def _answer_bigrams(unigrams: Unigrams, hot: np.ndarray):
             mine = place[at : at + r["n"]]
             at += r["n"]
             wanted = of[mine][np.concatenate([[True], np.diff(of[mine]) != 0])]
-            blob = pack(sums[wanted, : K + 1].astype(np.uint32).ravel()), pack(sums[wanted, K + 1])
-            out.append((r["batch"], BIGRAM_REPLY, shard, r["n"], len(wanted), pack(count[mine].astype(np.uint32)), *blob))
+            blob = pack(sums[wanted, : K + 1].astype(np.int64).ravel()), pack(sums[wanted, K + 1])
+            out.append((r["batch"], BIGRAM_REPLY, shard, r["n"], len(wanted), pack(count[mine]), *blob))
         out.append((0, COUNTS, shard, K + 1, 0, _counts_of_counts(count).tobytes()))
         is_hot = np.flatnonzero(np.isin(owners, hot))
         if len(is_hot):
@@ -286,17 +288,16 @@ def _answer_bigrams(unigrams: Unigrams, hot: np.ndarray):
 
 
 def _score(starts: int, unigrams: Unigrams, d: np.ndarray, hot: dict, shards: int, id_type: pa.DataType):
-    hot_numbers = np.array(sorted(hot), np.uint32)
+    hot_numbers = np.array(sorted(hot), np.uint64)
     hot_sums = np.array([hot[h] for h in hot_numbers.tolist()]).reshape(-1, K + 2)
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         batch, number, count = _words_of(rows)
-        length, _, local, times, key, place, _ = _bigrams(batch, number, count, starts, unigrams, shards)
+        length, _, local, times, history, _, place, _ = _bigrams(batch, number, count, starts, unigrams, shards)
         replies = sorted((r for r in rows if r["kind"] == BIGRAM_REPLY), key=lambda r: r["shard"])
-        seen = np.concatenate([unpack(r["a"], r["n"], np.uint32) for r in replies]).astype(np.int64)
-        sums = np.concatenate([np.column_stack([unpack(r["b"], r["m"] * (K + 1), np.uint32).reshape(-1, K + 1), unpack(r["c"], r["m"], np.float64)]) for r in replies])
-        history = (key >> np.uint64(32)).astype(np.uint32)
+        seen = np.concatenate([unpack(r["a"], r["n"], np.int64) for r in replies])
+        sums = np.concatenate([np.column_stack([unpack(r["b"], r["m"] * (K + 1), np.int64).reshape(-1, K + 1), unpack(r["c"], r["m"], np.float64)]) for r in replies])
         # a history's bigrams of one shard are neighbours, and each run has its sums
         shard_of_key = np.repeat(np.arange(len(replies)), [r["n"] for r in replies])
         run_of = np.cumsum(np.concatenate([[True], (history[1:] != history[:-1]) | (shard_of_key[1:] != shard_of_key[:-1])])) - 1
@@ -304,13 +305,13 @@ def _score(starts: int, unigrams: Unigrams, d: np.ndarray, hot: dict, shards: in
         if len(hot_numbers):
             at = np.minimum(np.searchsorted(hot_numbers, history), len(hot_numbers) - 1)
             sums = np.where((hot_numbers[at] == history)[:, None], hot_sums[at], sums)
-        total = np.zeros(len(key))
+        total = np.zeros(len(history))
         total[place] = times
         kept = sums[:, K] + sum(d[r] * r * sums[:, r - 1] for r in range(1, K + 1))
         full = np.where(total - kept > 1e-9 * np.maximum(total, 1), total, total + 1)
         c = seen.astype(float)
         left = np.where(total > 0, (full - kept) / full / np.maximum(1 - sums[:, K + 1], 1e-300), 1.0)
-        word_count = np.zeros(len(key), np.int64)
+        word_count = np.zeros(len(history), np.int64)
         word_count[place] = count[local]
         ratio = d[np.where(seen <= K, seen, 0)]
         p = np.where(seen > 0, ratio * c / np.maximum(full, 1), left * unigrams.probability(word_count))
@@ -335,46 +336,66 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     starts = texts.agg(F.count_if("learn")).first()[0]
     shards = max(shuffle_width(spark), -(-tokens // SHARD_TOKENS))
 
-    asked = stored.mapInArrow(_ask_words(shards), DDL)
+    tasks = max(shuffle_width(spark), -(-tokens // TASK_TOKENS))
+    asked = stored.mapInArrow(_ask_words(shards), DDL).repartition(tasks, "shard")
     words = materialize(asked.groupBy("shard").applyInArrow(_answer_words(shards), DDL), "katz-words")
-    tally = np.zeros(K + 3, np.int64)
-    for r in words.filter(F.col("kind") == COUNTS).select("a").toLocalIterator():  # a few numbers per shard
-        tally += np.frombuffer(r["a"], np.int64)
-    unigrams = Unigrams(tally)
+    unigrams = Unigrams(_tally(words, K + 3))
 
     # the words' hashes have been asked for; what is shuffled from here on are numbers
     batches = stored.withColumn("c", F.lit(None).cast("binary")).unionByName(words.filter(F.col("kind") == WORD_REPLY))
-    asked = batches.groupBy("batch").applyInArrow(_ask_bigrams(starts, unigrams, shards), DDL)
+    asked = batches.repartition(tasks, "batch").groupBy("batch").applyInArrow(_ask_bigrams(starts, unigrams, shards), DDL).repartition(tasks, "shard")
     hot = _hot_words(words, unigrams, starts)
     bigrams = materialize(asked.groupBy("shard").applyInArrow(_answer_bigrams(unigrams, hot), DDL), "katz-bigrams")
-    tally, sums = np.zeros(K + 1, np.int64), {}
-    for r in bigrams.filter(F.col("kind").isin(COUNTS, HOT_SUMS)).select("kind", "n", "a", "b").toLocalIterator():
-        if r["kind"] == COUNTS:
-            tally += np.frombuffer(r["a"], np.int64)
-        else:
-            for h, s in zip(np.frombuffer(r["a"], np.uint32).tolist(), np.frombuffer(r["b"], np.float64).reshape(-1, K + 2)):
-                sums[h] = sums.get(h, 0) + s
-    d = discounts(tally.astype(float))
+    d = discounts(_tally(bigrams, K + 1).astype(float))
+    sums = _hot_sums(bigrams)
     id_type = pa.int64() if id_field == "bigint" else pa.int32() if id_field == "int" else pa.string()
     schema = f"doc_id {id_field}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     told = batches.unionByName(bigrams.filter(F.col("kind") == BIGRAM_REPLY))
-    scored = told.groupBy("batch").applyInArrow(_score(starts, unigrams, d, sums, shards, id_type), schema)
+    scored = told.repartition(tasks, "batch").groupBy("batch").applyInArrow(_score(starts, unigrams, d, sums, shards, id_type), schema)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _tally(rows: DataFrame, n: int) -> np.ndarray:
+    """The shards' counts, summed before they come to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.frombuffer(r["a"], np.int64))], names=["i", "v"])
+
+    out = np.zeros(n, np.int64)
+    for i, v in rows.filter(F.col("kind") == COUNTS).select("a").mapInArrow(run, "i bigint, v bigint").groupBy("i").agg(F.sum("v")).collect():
+        out[i] = v
+    return out
+
+
+def _hot_sums(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The sums of the at most HOT + 1 hot histories over their shards."""
+    names = [f"s{i}" for i in range(K + 2)]
+
+    def run(batches):  # sums of counts beyond 2 ** 53 would be rounded
+        for batch in batches:
+            for r in batch.to_pylist():
+                sums = np.frombuffer(r["b"], np.float64).reshape(-1, K + 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["a"], np.int64)), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(K + 2)]], names=["h", *names])
+
+    summed = rows.filter(F.col("kind") == HOT_SUMS).select("a", "b").mapInArrow(run, "h bigint, " + ", ".join(f"{x} double" for x in names)).groupBy("h").agg(*[F.sum(x) for x in names])
+    return {int(np.array(h).view(np.uint64)): np.array(s) for h, *s in summed.collect()}
+
+
 def _hot_words(words: DataFrame, unigrams: Unigrams, starts: int) -> np.ndarray:
     """Numbers of the at most HOT words with more than 1 / HOT of all training tokens, and of the start."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                count = unpack(r["b"], r["n"], np.uint32)
-                high = np.flatnonzero(count.astype(np.int64) * HOT > unigrams.n)
+                count = unpack(r["b"], r["n"], np.int64)
+                high = np.flatnonzero(count * HOT > unigrams.n)
                 if len(high):
-                    yield pa.RecordBatch.from_arrays([pa.array(unpack(r["a"], r["n"], np.uint32)[high].astype(np.int64))], names=["number"])
+                    yield pa.RecordBatch.from_arrays([pa.array(unpack(r["a"], r["n"], np.uint64)[high].view(np.int64))], names=["number"])
 
     found = words.filter(F.col("kind") == WORD_REPLY).mapInArrow(run, "number bigint").distinct().collect()
     numbers = [r["number"] for r in found]
     if starts * HOT > unigrams.n:
         numbers.append(int(BOS))
-    return np.array(sorted(numbers), np.uint32)
+    return np.array(sorted(numbers), np.uint64)
