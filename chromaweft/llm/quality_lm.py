@@ -43,6 +43,8 @@ HELD_OUT = 10
 BATCH_BYTES = 8 << 20
 #: Tokens per shard.
 SHARD_TOKENS = 1_000_000
+#: Tokens per task of a shuffle.
+TASK_TOKENS = 4_000_000
 #: Perplexities are binned by their logarithm for the quantiles: 1 to 32 ** 2 in this many steps.
 BINS = 4096
 
@@ -275,13 +277,15 @@ def word_perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(doc_id, lang, perplexity) of docs under the word model of trusted."""
     spark = docs.sparkSession
     stored = materialize(docs.select("doc_id", "lang", "text").mapInArrow(_batches, _REPLY_DDL), "kn-batches")
-    shards = max(shuffle_width(spark), -(-(stored.agg(F.sum("n")).first()[0] or 0) // SHARD_TOKENS))
+    tokens = stored.agg(F.sum("n")).first()[0] or 0
+    shards = max(shuffle_width(spark), -(-tokens // SHARD_TOKENS))
+    tasks = max(shuffle_width(spark), -(-tokens // TASK_TOKENS))
     shared = spark.sparkContext.broadcast(fit(trusted))  # SYMBOLS ** ORDER floats
     model, rest = fit_words(trusted, shards)
-    asked = stored.mapInArrow(_ask(shards), _REPLY_DDL)
-    replies = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answer, _REPLY_DDL)
+    asked = stored.mapInArrow(_ask(shards), _REPLY_DDL).repartition(tasks, "shard")
+    replies = asked.groupBy("shard").cogroup(model.repartition(tasks, "shard").groupBy("shard")).applyInArrow(_answer, _REPLY_DDL)
     schema = docs.select("doc_id", "lang").schema.add("perplexity", "double")
-    return stored.unionByName(replies).groupBy("batch").applyInArrow(_score(shared, rest), schema)
+    return stored.unionByName(replies).repartition(tasks, "batch").groupBy("batch").applyInArrow(_score(shared, rest), schema)
 
 
 def perplexity(docs: DataFrame, model: np.ndarray, keep: list[str] | None = None) -> DataFrame:
