@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaweft.functions.abundance import abundance
-from chromaweft.functions.interval import five_prime, merge_ranges
+from chromaweft.functions.interval import clip_offset, five_prime, merge_ranges, reference_width
 from chromaweft.operators import counts, filters, geometry, neighbors, normalize, results
 from chromaweft.operators import scan as scans
 from chromaweft.plans import demo
@@ -276,6 +276,15 @@ def a7_enriched_pairs(spark, sf_dir):
     return out.select("a1", "a2", first("counts"), *[x for m in neighbors.MODES for x in (first(f"n_{m}"), f"area_{m}")])
 
 
+_NB_LIBS = ", ".join(f"CAST(coalesce((SELECT sum(q.c_{x}) FROM placed q WHERE q.c1 = p.c1 AND q.c2 = p.c2 AND {a} AND NOT ({b})), 0) AS BIGINT) AS {m}_{x}" for m, (a, b) in _SHAPES.items() for x in LIBS)
+
+
+@query(f"{_NEAR}{_NB} SELECT a1, a2, {_NB_LIBS} FROM placed p")
+def a7_enriched_pairs_of_libraries(spark, sf_dir):
+    out = neighbors.enriched_pairs(_square(spark, sf_dir, near=True), 2, 1).pairs
+    return out.select("a1", "a2", *[F.get(f"n_{m}", F.lit(i)).cast("long").alias(f"{m}_{x}") for m in neighbors.MODES for i, x in enumerate(LIBS)])
+
+
 @query(f"{_NEAR}{_NB} SELECT a1, a2, total, {_NB_SELECT} FROM placed p WHERE total >= 20")
 def a6_neighbor_counts(spark, sf_dir):
     p = demo.pairs(spark, sf_dir, near=True).withColumn("lib", F.lit("all"))
@@ -485,8 +494,6 @@ def _tests(spark, sf_dir):
 
 @query(f"{_CELLS}{_ENDS}{_TESTS}, w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY set_id) AS w FROM t), u AS (SELECT p, sum(w) AS w FROM w GROUP BY p), c AS (SELECT p, (SELECT sum(w) FROM u) * p / sum(w) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS raw FROM u), a AS (SELECT p, least(1, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS adj FROM c) SELECT box_id, round(adj, 6) AS adjusted FROM t JOIN a USING (p)")
 def a11_weighted_fdr(spark, sf_dir):
-    from pyspark.sql import Window
-
     weighed = _tests(spark, sf_dir).withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("set_id")))
     return results.weighted_fdr(weighed).select("box_id", F.round("adjusted", 6).alias("adjusted"))
 
@@ -499,8 +506,6 @@ def a10_consolidate(spark, sf_dir):
 
 @query(f"{_CELLS}{_ENDS}{_TESTS}, par AS (SELECT row_number() OVER (ORDER BY chr, i) AS pid, chr, i * 200000 + 1 AS ps, (i + 1) * 200000 + 60000 AS pe FROM (SELECT DISTINCT chr FROM reg), range(8) r(i)), b AS (SELECT t.*, (SELECT min(pid) FROM par WHERE chr = chr1 AND s1 >= ps AND e1 <= pe) AS q1, (SELECT min(pid) FROM par WHERE chr = chr2 AND s2 >= ps AND e2 <= pe) AS q2 FROM t), x AS (SELECT *, greatest(q1, q2) AS p1, least(q1, q2) AS p2 FROM b) SELECT box_id, CASE WHEN q1 IS NOT NULL AND q2 IS NOT NULL THEN p1 END AS p1, CASE WHEN q1 IS NOT NULL AND q2 IS NOT NULL THEN p2 END AS p2, CASE WHEN q1 IS NOT NULL AND q2 IS NOT NULL THEN min(s1) OVER (PARTITION BY p1, p2, q1 IS NULL OR q2 IS NULL) END AS min_start1 FROM x")
 def j7_nest_boxes(spark, sf_dir):
-    from pyspark.sql import Window
-
     names = counts.bin_regions(counts.fragment_bins(demo.fragments(spark, sf_dir), demo.WIDTH)).select("chr").distinct()
     parents = names.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("region_id", F.row_number().over(Window.orderBy("chr", "i")).cast("long"))
     parents = parents.select("region_id", "chr", (F.col("i") * 200000 + 1).alias("start"), ((F.col("i") + 1) * 200000 + 60000).alias("end"))
@@ -646,6 +651,50 @@ def s10_merge_matrices(spark, sf_dir):
     return out.select("a1", "a2", *[F.get("counts", F.lit(i)).alias(f"x{i}") for i in range(3)])
 
 
+@query(f"{_CELLS} SELECT a1, a2, {', '.join('c_' + x for x in LIBS)} FROM cells")
+def s9_read_matrices(spark, sf_dir):
+    """The counts written as one MTX file per library, with a comment, a header and entries on either side of the diagonal, and read back."""
+    data = _square(spark, sf_dir)
+    pairs, regions = durable(data.pairs), durable(data.regions)
+    n, bed = regions.count(), scratch_path(spark, "bed")
+    line = F.concat_ws("\t", "chr", (F.col("start") - 1).cast("string"), F.col("end").cast("string"))
+    regions.coalesce(1).sortWithinPartitions("region_id").select(line.alias("value")).write.text(bed)
+    paths = []
+    for i in range(len(LIBS)):
+        paths.append(scratch_path(spark, "mtx"))
+        part = pairs.select("a1", "a2", F.get("counts", F.lit(i)).alias("v")).filter("v > 0")
+        turn = (F.col("a1") + F.col("a2")) % 2 == 0
+        body = part.select(F.lit(2).alias("k"), F.concat_ws(" ", *[F.when(turn, F.col(x)).otherwise(F.col(y)).cast("string") for x, y in (("a1", "a2"), ("a2", "a1"))], F.col("v").cast("string")).alias("value"))
+        head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (1, f"{n} {n} {part.count()}")], "k int, value string")
+        head.union(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(paths[-1])
+    return slots(matrices.read_mtx(spark, paths, bed).pairs)
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size + 12 + p_partkey % 7 AS BIGINT) AS width, CAST(p_partkey % 5 AS BIGINT) AS clip, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 + 1 ELSE 0 END AS BIGINT) AS clip_reverse FROM part", with_demo=False)
+def s1a_cigar(spark, sf_dir):
+    """Widths and 5' clips of made CIGAR strings; inserted and soft-clipped bases do not count."""
+    key = F.col("p_partkey")
+
+    def op(n, letter):
+        return F.concat(n.cast("string"), F.lit(letter))
+
+    tail = F.when(key % 3 == 0, op(key % 4 + 1, "H")).otherwise(op(key % 4 + 1, "S"))
+    cigar = F.concat(F.when(key % 5 > 0, op(key % 5, "H")).otherwise(""), F.lit("2S"), op(F.col("p_size"), "M"), F.lit("3I10D1N1="), op(key % 7, "X"), tail)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", cigar.alias("cigar"))
+    clips = [clip_offset(F.col("cigar"), F.lit(x)).cast("long") for x in (False, True)]
+    return part.select(F.col("p_partkey").cast("long").alias("id"), reference_width(F.col("cigar")).cast("long").alias("width"), clips[0].alias("clip"), clips[1].alias("clip_reverse"))
+
+
+@query(" SELECT lib, chr1, chr2, count(*) AS n, count(*) FILTER (id1 >= id2) AS in_order, sum(pos1) AS p1, sum(len1) AS l1 FROM pairs GROUP BY ALL")
+def s3_stored_order(spark, sf_dir):
+    """Every stored file's rows follow the store's order: counted with its neighbour in the file."""
+    rows = spark.read.parquet(_stored(spark, sf_dir)).withColumn("file", F.input_file_name()).withColumn("row", F.monotonically_increasing_id())
+    order = F.struct("anchor1_id", "anchor2_id", "anchor1_pos", "anchor2_pos", "anchor1_len", "anchor2_len")
+    before = F.lag(order).over(Window.partitionBy("file").orderBy("row"))
+    sound = F.when(before > order, F.raise_error(F.lit("rows out of order")).cast("boolean")).otherwise(F.col("anchor1_id") >= F.col("anchor2_id"))
+    return rows.withColumn("sound", sound).groupBy("lib", "chr1", "chr2").agg(F.count(F.lit(1)).alias("n"), F.count_if("sound").alias("in_order"), F.sum("anchor1_pos").alias("p1"), F.sum("anchor1_len").alias("l1"))
+
+
 _COLOUR = "printf('#%02X%02X%02X', v, v, v)"
 
 
@@ -735,4 +784,4 @@ def s1_prepared_pairs(spark, sf_dir):
 def s2_prepare_pairs_dnase(spark, sf_dir):
     pairs, totals = alignments.prepare_pairs(_alignments(spark, sf_dir), chromosomes=_lengths(spark, sf_dir))
     places = pairs.agg(F.sum(F.col("anchor1_pos") + F.col("anchor2_pos")).alias("places"))
-    return totals.select("total", "mapped", "dangling").crossJoin(places)
+    return totals.select("total", "mapped", "dangling", F.lit(places.first()["places"]).alias("places"))
