@@ -62,15 +62,18 @@ def scan(pairs: DataFrame, param: PairParam, columns: tuple[str, ...] | None = N
 
 
 def check_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """One row of violations: ends in the wrong order, ids of no fragment, ids on another chromosome."""
+    """One row of violations: ends in the wrong order, ids of no fragment, ids on another chromosome, chromosomes without fragments."""
     one = fragments.select(F.col("frag_id").alias("f1"), F.col("chr").alias("c1"))
     two = fragments.select(F.col("frag_id").alias("f2"), F.col("chr").alias("c2"))
+    names = fragments.select("chr").distinct()
     both = pairs.join(one, F.col("anchor1_id") == F.col("f1"), "left").join(two, F.col("anchor2_id") == F.col("f2"), "left")
+    both = both.join(names.toDF("n1"), F.col("chr1") == F.col("n1"), "left").join(names.toDF("n2"), F.col("chr2") == F.col("n2"), "left")
     return both.agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.count_if(F.col("anchor1_id") < F.col("anchor2_id")).alias("wrong_order"),
         F.count_if(F.col("f1").isNull() | F.col("f2").isNull()).alias("unknown_fragment"),
         F.count_if((F.col("c1") != F.col("chr1")) | (F.col("c2") != F.col("chr2"))).alias("wrong_chromosome"),
+        F.count_if(F.col("n1").isNull() | F.col("n2").isNull()).alias("unknown_chromosome"),
     )
 
 

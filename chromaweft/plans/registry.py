@@ -96,7 +96,7 @@ def f4_cap(spark, sf_dir):
     return _summed(scans.scan(demo.pairs(spark, sf_dir, near=True), demo.param(spark, sf_dir, cap=2)))
 
 
-@query(" SELECT count(*) AS n_pairs, count(*) FILTER (id1 < id2) AS wrong_order, CAST(0 AS BIGINT) AS unknown_fragment, CAST(0 AS BIGINT) AS wrong_chromosome FROM pairs")
+@query(" SELECT count(*) AS n_pairs, count(*) FILTER (id1 < id2) AS wrong_order, CAST(0 AS BIGINT) AS unknown_fragment, CAST(0 AS BIGINT) AS wrong_chromosome, CAST(0 AS BIGINT) AS unknown_chromosome FROM pairs")
 def f5_check(spark, sf_dir):
     return scans.check_pairs(demo.pairs(spark, sf_dir), demo.fragments(spark, sf_dir))
 
@@ -165,11 +165,11 @@ def s7_load_pair(spark, sf_dir):
     return _summed(store.load_pair(demo.pairs(spark, sf_dir), "chr1", "chr2")[0])
 
 
-@query(" SELECT count(*) AS n_pairs, count(*) FILTER (pos1 % 5 = 0 AND id1 <> id2) AS wrong_order, count(*) FILTER (pos1 % 5 = 1) AS unknown_fragment, count(*) FILTER (pos1 % 5 = 2 AND chr1 <> 'chr1') AS wrong_chromosome FROM pairs")
+@query(" SELECT count(*) AS n_pairs, count(*) FILTER (pos1 % 5 = 0 AND id1 <> id2) AS wrong_order, count(*) FILTER (pos1 % 5 = 1) AS unknown_fragment, count(*) FILTER ((pos1 % 5 = 2 AND chr1 <> 'chr1') OR pos1 % 5 = 3) AS wrong_chromosome, count(*) FILTER (pos1 % 5 = 3) AS unknown_chromosome FROM pairs")
 def f5_check_violations(spark, sf_dir):
     p, kind = demo.pairs(spark, sf_dir), F.col("anchor1_pos") % 5
     swap = [F.when(kind == 0, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("anchor1_id", "anchor2_id"), ("anchor2_id", "anchor1_id"), ("chr1", "chr2"), ("chr2", "chr1"))]
-    bad = p.select("anchor1_pos", *swap).withColumn("anchor1_id", F.when(kind == 1, 10_000_000).otherwise(F.col("anchor1_id"))).withColumn("chr1", F.when(kind == 2, "chr1").otherwise(F.col("chr1")))
+    bad = p.select("anchor1_pos", *swap).withColumn("anchor1_id", F.when(kind == 1, 10_000_000).otherwise(F.col("anchor1_id"))).withColumn("chr1", F.when(kind == 2, "chr1").otherwise(F.col("chr1"))).withColumn("chr2", F.when(kind == 3, "chrX").otherwise(F.col("chr2")))
     return scans.check_pairs(bad, demo.fragments(spark, sf_dir))
 
 
@@ -514,6 +514,22 @@ def j7_nest_boxes(spark, sf_dir):
     return out.select("box_id", F.when(inside, F.col("p1")).alias("p1"), F.when(inside, F.col("p2")).alias("p2"), "min_start1")
 
 
+def _binned_sql(name: str, width: int) -> str:
+    return f", {name} AS (SELECT frag_id, dense_rank() OVER (ORDER BY chr_idx, floor(((s + e) / 2.0 - 0.1) / {width})) AS bin FROM frag)"
+
+
+_SETS = " UNION ALL ".join(f"SELECT DISTINCT {k} AS set_id, a.bin AS a1, b.bin AS a2, u.bin AS p1, v.bin AS p2 FROM near p JOIN b{k} a ON a.frag_id = id1 JOIN b{k} b ON b.frag_id = id2 JOIN bp u ON u.frag_id = id1 JOIN bp v ON v.frag_id = id2" for k in (0, 1))
+
+
+@query(f"{_binned_sql('b0', 25000)}{_binned_sql('b1', 50000)}{_binned_sql('bp', 100000)}, al AS ({_SETS}) SELECT set_id, a1, a2, dense_rank() OVER (ORDER BY p1, p2) AS box_index FROM al")
+def j7_box_pairs(spark, sf_dir):
+    """Bin pairs of two sizes in bins of a third."""
+    p, param = demo.pairs(spark, sf_dir, near=True), demo.param(spark, sf_dir)
+    sets = [counts.square_counts(p, param, LIBS, w) for w in (25_000, 50_000)]
+    indices = results.box_pairs(sets, param, reference=100_000, index_only=True)[0]
+    return indices[0].withColumn("set_id", F.lit(0)).unionByName(indices[1].withColumn("set_id", F.lit(1))).select("set_id", "a1", "a2", F.col("box_index").cast("long").alias("box_index"))
+
+
 _LINK = "x.chr1 = y.chr1 AND x.chr2 = y.chr2 AND y.s1 - x.e1 - 1 < 1 AND x.s1 - y.e1 - 1 < 1 AND y.s2 - x.e2 - 1 < 1 AND x.s2 - y.e2 - 1 < 1"
 
 
@@ -685,14 +701,9 @@ def s1a_cigar(spark, sf_dir):
     return part.select(F.col("p_partkey").cast("long").alias("id"), reference_width(F.col("cigar")).cast("long").alias("width"), clips[0].alias("clip"), clips[1].alias("clip_reverse"))
 
 
-@query(" SELECT lib, chr1, chr2, count(*) AS n, count(*) FILTER (id1 >= id2) AS in_order, sum(pos1) AS p1, sum(len1) AS l1 FROM pairs GROUP BY ALL")
+@query(" SELECT lib, chr1, chr2, count(*) AS n_pairs, CAST(0 AS BIGINT) AS out_of_order FROM pairs GROUP BY ALL")
 def s3_stored_order(spark, sf_dir):
-    """Every stored file's rows follow the store's order: counted with its neighbour in the file."""
-    rows = spark.read.parquet(_stored(spark, sf_dir)).withColumn("file", F.input_file_name()).withColumn("row", F.monotonically_increasing_id())
-    order = F.struct("anchor1_id", "anchor2_id", "anchor1_pos", "anchor2_pos", "anchor1_len", "anchor2_len")
-    before = F.lag(order).over(Window.partitionBy("file").orderBy("row"))
-    sound = F.when(before > order, F.raise_error(F.lit("rows out of order")).cast("boolean")).otherwise(F.col("anchor1_id") >= F.col("anchor2_id"))
-    return rows.withColumn("sound", sound).groupBy("lib", "chr1", "chr2").agg(F.count(F.lit(1)).alias("n"), F.count_if("sound").alias("in_order"), F.sum("anchor1_pos").alias("p1"), F.sum("anchor1_len").alias("l1"))
+    return store.check_order(spark, _stored(spark, sf_dir))
 
 
 _COLOUR = "printf('#%02X%02X%02X', v, v, v)"

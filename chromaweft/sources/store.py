@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaweft.operators.scan import ORDER, STORED, prune_pairs
@@ -60,6 +60,13 @@ def load_store(spark: SparkSession, path: str, columns: tuple[str, ...] | None =
     return out if columns is None else out.select(*PARTITIONS, *columns)
 
 
+def check_order(spark: SparkSession, path: str) -> DataFrame:
+    """lib, chr1, chr2, n_pairs, out_of_order: rows that stand behind a larger one in their file, in the store's order."""
+    rows = spark.read.parquet(path).select(*PARTITIONS, F.struct("anchor1_id", "anchor2_id", *ORDER).alias("at"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
+    before = F.lag("at").over(Window.partitionBy("file").orderBy("row"))
+    return rows.withColumn("wrong", F.coalesce(before > F.col("at"), F.lit(False))).groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("wrong").alias("out_of_order"))
+
+
 def chromosome_pairs(store: DataFrame) -> DataFrame:
     return store.select("chr1", "chr2").distinct()
 
