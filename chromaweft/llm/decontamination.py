@@ -12,7 +12,8 @@ Items are the query set: they are sent to the tasks in blocks of at most `BLOCK_
 against all documents in one scan without a shuffle.
 
 Defined results: null texts are empty; items of fewer than five words have no shingles and are found nowhere;
-repeated rows and items give repeated pairs; null ids stay null.
+repeated rows and items give repeated pairs; null ids stay null; columns other than doc_id, item_id and text are
+not read, and drop_contaminated hands them on.
 """
 
 from __future__ import annotations

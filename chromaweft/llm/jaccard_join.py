@@ -21,7 +21,8 @@ Result per row: class_id, the smallest id of the documents connected by links, a
 documents (distinct ids) that the document is linked to, copies included.
 
 Defined results: null and empty texts, and texts without words, have no links and are their own class; null ids
-take no part: class_id null, 0 links; repeated rows (same id and text) are one document and get the same result.
+take no part: class_id null, 0 links; repeated rows (same id and text) are one document and get the same result; ids may be of
+any type that has an order; columns other than doc_id and text are not read, and drop_near_duplicates hands them on.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ occurrence. Bigrams are sharded by history; a history with more than 1 / HOT of
 words, and the at most HOT + 1 sums of such histories pass through the driver. Nothing else but counts of counts does.
 
 Words are told apart by 64-bit hashes. Defined results: null texts are empty (one end token); null ids are not learned from
-and have held_out null; repeated rows count repeatedly; with no training text every token is unknown.
+and have held_out null; ids may be of any type; repeated rows count repeatedly; with no training text every token is unknown;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -287,7 +288,7 @@ def _answer_bigrams(unigrams: Unigrams, hot: np.ndarray):
     return run
 
 
-def _score(starts: int, unigrams: Unigrams, d: np.ndarray, hot: dict, shards: int, id_type: pa.DataType):
+def _score(starts: int, unigrams: Unigrams, d: np.ndarray, hot: dict, shards: int):
     hot_numbers = np.array(sorted(hot), np.uint64)
     hot_sums = np.array([hot[h] for h in hot_numbers.tolist()]).reshape(-1, K + 2)
 
@@ -321,7 +322,7 @@ def _score(starts: int, unigrams: Unigrams, d: np.ndarray, hot: dict, shards: in
         base = np.add.reduceat(base[local], end - length)
         known = np.add.reduceat((count[local] > 0).astype(np.int64), end - length)
         ids = pa.ipc.open_stream(batch["e"]).read_all().column(0).combine_chunks()
-        return pa.table({"doc_id": ids.cast(id_type), "n_tokens": length, "n_known": known, "train_tokens": np.full(len(length), unigrams.n), "base_score": base, "score": score})
+        return pa.table({"doc_id": ids, "n_tokens": length, "n_known": known, "train_tokens": np.full(len(length), unigrams.n), "base_score": base, "score": score})
 
     return run
 
@@ -348,10 +349,9 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     bigrams = materialize(asked.groupBy("shard").applyInArrow(_answer_bigrams(unigrams, hot), DDL), "katz-bigrams")
     d = discounts(_tally(bigrams, K + 1).astype(float))
     sums = _hot_sums(bigrams)
-    id_type = pa.int64() if id_field == "bigint" else pa.int32() if id_field == "int" else pa.string()
     schema = f"doc_id {id_field}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     told = batches.unionByName(bigrams.filter(F.col("kind") == BIGRAM_REPLY))
-    scored = told.repartition(tasks, "batch").groupBy("batch").applyInArrow(_score(starts, unigrams, d, sums, shards, id_type), schema)
+    scored = told.repartition(tasks, "batch").groupBy("batch").applyInArrow(_score(starts, unigrams, d, sums, shards), schema)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -16,7 +16,8 @@ of their language, since texts that were learned look better than others.
 Defined results: null and empty texts have the perplexity of an immediate end; null languages are one language of
 their own; a language without held-out documents has the threshold of all held-out ones, or, without any, of all trusted ones; without
 trusted documents the model is uniform, every perplexity is 32 and all are kept; null ids are never trusted; labels that disagree count as
-good; repeated rows get repeated results.
+good; repeated rows get repeated results; a perplexity equal to the threshold is kept; a threshold is the upper edge of a bin of 4,096, so equal
+perplexities lie on the same side; columns other than doc_id, lang and text are not read.
 """
 
 from __future__ import annotations

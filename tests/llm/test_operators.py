@@ -664,6 +664,18 @@ def test_katz_on_odd_rows(odd, none):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in held)
 
 
+def test_katz_with_ids_of_other_types(spark):
+    rows = [(f"d{i}", "one two three two one " * (i % 3 + 1)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: (r["score"], r["held_out"]) for r in katz.score_documents(docs).collect()}
+    _, _, _, p = _katz(rows)
+    for i, t in rows:
+        ts = [*t.split(), None]
+        assert got[i] == (pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *ts[:-1]], ts))), zlib.crc32(i.encode()) % 10 == 0)
+    dated = docs.withColumn("doc_id", F.date_add(F.lit("2024-01-01"), F.substring("doc_id", 2, 9).cast("int")))
+    assert katz.score_documents(dated).schema["doc_id"].dataType.simpleString() == "date" and katz.score_documents(dated).count() == 30
+
+
 def test_katz_discounts():
     assert katz.discounts(np.array([100, 50, 30, 20, 15, 0.0])).tolist() == [1.0] * 6
     for n in ([1000, 300, 140, 80, 50, 35], [100, 90, 10, 50, 3, 2]):
