@@ -81,34 +81,35 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(times)], names=["code", "times"])
 
 
+def _cuts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What is taken from counts of one, two and more, by the counts of counts."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    return [y if not (n1 and n2) else min(1.0, max(1e-3, 1 - 2 * y * n2 / n1)), min(2.0, max(1e-3, 2 - 3 * y * n3 / n2)) if n2 and n3 else 0.75, min(3.0, max(1e-3, 3 - 4 * y * n4 / n3)) if n3 and n4 else 1.0]
+
+
 def _less(level: DataFrame):
-    """What is taken from a count c, by the counts of counts."""
+    """What is taken from a count c."""
     n = level.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (n[f"n{k}"] for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    cut = [y if not (n1 and n2) else min(1.0, max(1e-3, 1 - 2 * y * n2 / n1)), min(2.0, max(1e-3, 2 - 3 * y * n3 / n2)) if n2 and n3 else 0.75, min(3.0, max(1e-3, 3 - 4 * y * n4 / n3)) if n3 and n4 else 1.0]
+    cut = _cuts(*n)
     return F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
 
 
 def fit(trusted: DataFrame) -> np.ndarray:
-    """log10 probability of each n-gram's last symbol after the others."""
-    grams = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_count, "code int, times bigint").groupBy("code").agg(F.sum("times").alias("c"))
-    levels = [materialize(grams, "kn-counts")]
+    """log10 probability of each n-gram's last symbol after the others: the spelling model, made on the driver of at most SYMBOLS ** ORDER counts."""
+    grams = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_count, "code int, times bigint").groupBy("code").agg(F.sum("times").alias("c")).toArrow()
+    levels = [np.zeros(SYMBOLS**ORDER, np.int64)]
+    levels[0][grams.column("code").to_numpy()] = grams.column("c").to_numpy()
     for order in range(ORDER - 1, 0, -1):  # distinct left neighbours
-        levels.append(levels[-1].groupBy((F.col("code") % SYMBOLS**order).cast("int").alias("code")).agg(F.count(F.lit(1)).alias("c")))
-    log_p = np.full(1, 1 / SYMBOLS)
+        levels.append(np.bincount(np.flatnonzero(levels[-1]) % SYMBOLS**order, minlength=SYMBOLS**order))
+    p = np.full(1, 1 / SYMBOLS)
     for order, level in zip(range(1, ORDER + 1), reversed(levels)):
-        less = _less(level)
-        context = F.floor(F.col("code") / SYMBOLS).cast("int")
-        totals = level.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(less).alias("lost"))
-        joined = level.withColumn("context", context).join(totals, "context").select("code", "context", ((F.col("c") - less) / F.col("total")).alias("own"), (F.col("lost") / F.col("total")).alias("rest"))
-        rows = joined.toArrow()  # at most SYMBOLS ** order
-        rest = np.ones(SYMBOLS ** (order - 1))
-        rest[rows.column("context").to_numpy()] = rows.column("rest").to_numpy()
-        p = np.repeat(rest, SYMBOLS) * np.tile(log_p, SYMBOLS) if order > 1 else rest[0] * np.full(SYMBOLS, 1 / SYMBOLS)
-        p[rows.column("code").to_numpy()] += rows.column("own").to_numpy()
-        log_p = p
-    return np.log10(log_p).astype(np.float32)
+        cut = _cuts(*[int((level == k).sum()) for k in (1, 2, 3, 4)])
+        less = np.array([0.0, *cut])[np.minimum(level, 3)]
+        total, lost = level.reshape(-1, SYMBOLS).sum(axis=1), less.reshape(-1, SYMBOLS).sum(axis=1)
+        rest = np.where(total > 0, lost / np.maximum(total, 1), 1.0)
+        shorter = np.tile(p, SYMBOLS) if order > 1 else np.full(SYMBOLS, 1 / SYMBOLS)
+        p = (level - less) / np.repeat(np.maximum(total, 1), SYMBOLS) + np.repeat(rest, SYMBOLS) * shorter
+    return np.log10(p).astype(np.float32)
 
 
 def _key(*words: np.ndarray) -> np.ndarray:
