@@ -5,6 +5,7 @@ Workers get Arrow batches; `pieces` cuts them into runs of bounded size, so memo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,23 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 21) ->
         to = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+@lru_cache(1)
+def _trim():
+    """The C library's malloc_trim, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Give freed memory back: workers live on from task to task, and what one of them keeps another cannot have."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 def strings(column: pa.Array) -> list[str]:
