@@ -66,8 +66,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize wrote, once all that was computed from it is written."""
-    path = _path_of.pop(df)
-    _delete(df.sparkSession, path)
+    remove(df.sparkSession, _path_of.pop(df))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a scratch_path."""
+    _delete(spark, path)
     _written[:] = [x for x in _written if x[1] != path]
 
 

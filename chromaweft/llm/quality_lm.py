@@ -5,11 +5,16 @@ text). Behind the single word stands a spelling model, of four symbols of text (
 digits, other letters, common punctuation, other signs, and the edge of a text), which gives unknown words and the blanks before
 them their probability. Perplexity is per symbol, so that texts of any kind of words compare.
 
-Counts, continuation counts, counts of counts and context totals of words are tables that grow with the corpus. Texts become
-batches; a batch asks shards (ranges of the n-grams' hash) for its distinct n-grams and contexts, and is scored with
-the answers. A key is asked for once per batch, so that frequent words cost no more than others. The spelling model has
+Counts, continuation counts, counts of counts and context totals of words are tables that grow with the corpus: packed sorted
+hashes by shard (a range of the hash). Texts become batches; a batch asks shards for its distinct n-grams and contexts, and is scored
+with the answers. A key is asked for once per batch, so that frequent words cost no more than others. The spelling model has
 at most 32 ** 4 rows (4 MB) and is sent to every task.
 
+Disk. What is asked and counted takes several times the input, so both are done in passes, and what a pass has written is
+deleted before the next: n-grams are learned by ranges of their middle word (all counts that a trigram adds to belong to that word, but for
+those of the end of a text), documents are scored by ranges of a hash of their id. Every pass reads the texts anew. There are up to 24 and 16
+passes, fewer for small tables, whatever their size beyond. The model is written in buckets of shards, so that no pass shuffles it.
+
 A tenth of the trusted documents, by a hash of the id, is not learned from: the quantile of their perplexity is the threshold
 of their language, since texts that were learned look better than others.
 
@@ -22,17 +27,18 @@ perplexities lie on the same side; columns other than doc_id, lang and text are
 
 from __future__ import annotations
 
+import gc
 import unicodedata
 import uuid
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaweft.llm import textvec
-from chromaweft.llm.common import crc_mod, materialize, shuffle_width
+from chromaweft.llm.common import crc_mod, discard, materialize, remove, scratch_path, shuffle_width
 from chromaweft.llm.katz import pack, pack_sorted, shard_of, unpack, unpack_sorted
 
 SYMBOLS, ORDER = 32, 4
@@ -42,10 +48,12 @@ END, BOS = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: One in so many trusted documents is held out for the thresholds.
 HELD_OUT = 10
 BATCH_BYTES = 8 << 20
-#: Tokens per shard.
-SHARD_TOKENS = 1_000_000
-#: Tokens per task of a shuffle.
-TASK_TOKENS = 4_000_000
+#: Bytes of all text per shard.
+SHARD_BYTES = 24 << 20
+#: Passes at most, over the middle words that are learned and over the documents that are scored, and the bytes of text that make one.
+LEARN_PASSES, SCORE_PASSES, PASS_BYTES = 24, 16, 8 << 20
+#: Parts in which what the passes have learned is merged.
+MERGES = 8
 #: Perplexities are binned by their logarithm for the quantiles: 1 to 32 ** 2 in this many steps.
 BINS = 4096
 
@@ -87,13 +95,6 @@ def _cuts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [y if not (n1 and n2) else min(1.0, max(1e-3, 1 - 2 * y * n2 / n1)), min(2.0, max(1e-3, 2 - 3 * y * n3 / n2)) if n2 and n3 else 0.75, min(3.0, max(1e-3, 3 - 4 * y * n4 / n3)) if n3 and n4 else 1.0]
 
 
-def _less(level: DataFrame):
-    """What is taken from a count c."""
-    n = level.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    cut = _cuts(*n)
-    return F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
-
-
 def fit(trusted: DataFrame) -> np.ndarray:
     """log10 probability of each n-gram's last symbol after the others: the spelling model, made on the driver of at most SYMBOLS ** ORDER counts."""
     grams = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_count, "code int, times bigint").groupBy("code").agg(F.sum("times").alias("c")).toArrow()
@@ -150,55 +151,204 @@ def spelling(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.diff(total[ends], prepend=0.0), np.diff(bounds)
 
 
-def _trigrams(batches):
-    for batch in batches:
-        for piece in textvec.pieces(batch, limit=BATCH_BYTES):
-            token, one, two, _ = tokens(textvec.strings(piece.column("text")))
-            key = _key(two, one, token)
-            order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-            at = order[first]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (two, one, token)], pa.array(np.diff(np.append(first, len(key))))], names=["w1", "w2", "w3", "times"])
+#: Rows of the model and of what it is summed from. GRAMS: sorted keys and counts. CONTEXTS: sorted keys, and for each VALUES of it.
+#: SUMS and BIGRAMS: middle words (sorted) and the words before and behind them, with what contexts have so far or how many words were seen before.
+#: WORDS: sorted keys, VALUES so far. TALLY: n-grams counted 1 .. 4 times and more than twice, sum of all counts; on level 0 the words before an end.
+GRAMS, CONTEXTS, SUMS, BIGRAMS, WORDS, TALLY = range(6)
+#: The n-gram's count; as a context: the total count of what follows, and how many n-grams follow that are counted once, twice, more often.
+VALUES = 5
+_MODEL = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
+_MODEL_DDL = "shard bigint, kind int, level int, n bigint, a binary, b binary, c binary, d binary"
+
+
+def _packed(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(_MODEL.names, (*r, *[None] * (len(_MODEL) - len(r))))) for r in rows], _MODEL)
+
+
+def _cut(key: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """Shards of sorted keys, and the bounds of each."""
+    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1)).tolist()
+    return [(s, a, b) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+
+
+def _dealt(kind: int, level: int, shards: int, key: np.ndarray, middle: np.ndarray, *others: np.ndarray) -> list[tuple]:
+    """Rows by the shard of the sorted keys, each in the order of its middle words, which makes them short."""
+    out = []
+    for s, a, b in _cut(key, shards):
+        order = np.argsort(middle[a:b])
+        out.append((s, kind, level, b - a, pack_sorted(middle[a:b][order]), *[pack(x[..., a:b][..., order].ravel()) for x in others]))
+    return out
+
+
+def _merged(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and the sums of their values (the last axis is that of the keys)."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    return key[first], order[first], np.add.reduceat(values[..., order], first, axis=-1) if len(first) else values
 
 
-#: What a model row tells: the n-gram's own share, or what its context leaves to the shorter n-gram.
-OWN, REST = 0, 1
+def _joined(rows: list[dict], column: str, dtype=np.int64, each: int = 1, how=unpack) -> np.ndarray:
+    out = np.concatenate([np.zeros((each, 0), dtype), *[how(r[column], each * r["n"], dtype).reshape(each, -1) for r in rows]], axis=1)
+    return out if each > 1 else out[0]
 
 
-def _keyed(words: list[str], shards: int):
+def _keys_of(rows: list[dict]) -> np.ndarray:
+    return _joined(rows, "a", np.uint64, how=unpack_sorted)
+
+
+def _few(c: np.ndarray) -> np.ndarray:
+    """What n-grams of these counts add to their context."""
+    return np.array([c, c == 1, c == 2, c > 2], np.int64)
+
+
+def _trigrams(shards: int, passes: int, at: int):
+    """Trigrams whose middle word is of the pass, by shard."""
+
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                key = _key(*[b.column(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words])
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(key, shards)), pa.array(key.view(np.int64)), b.column("what"), b.column("value")], names=["shard", "key", "what", "value"])
+        for batch in batches:
+            for piece in textvec.pieces(batch, limit=BATCH_BYTES):
+                token, one, two, _ = tokens(textvec.strings(piece.column("text")))
+                mine = np.flatnonzero(one % np.uint64(passes) == at)
+                token, one, two = token[mine], one[mine], two[mine]
+                key, place, times = _merged(_key(two, one, token), np.ones(len(mine), np.int64))
+                yield from _packed(_dealt(GRAMS, 3, shards, key, one[place], two[place], token[place], times)).to_batches()
+
+    return run
+
+
+def _tally(shard: int, level: int, c: np.ndarray) -> tuple:
+    return shard, TALLY, level, 6, np.array([*np.bincount(np.minimum(c, 5), minlength=6)[1:5], (c > 2).sum(), c.sum()], np.int64).tobytes()
+
+
+def _count_trigrams(shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        shard, middle, first, last = rows[0]["shard"], _keys_of(rows), _joined(rows, "b", np.uint64), _joined(rows, "c", np.uint64)
+        key, place, c = _merged(_key(first, middle, last), _joined(rows, "d"))
+        middle, first, last = middle[place], first[place], last[place]
+        out = [(shard, GRAMS, 3, len(key), pack_sorted(key), pack(c)), _tally(shard, 3, c)]
+        key, place, few = _merged(_key(first, middle), _few(c))
+        out += _dealt(SUMS, 3, shards, key, middle[place], first[place], few)
+        key, place, before = _merged(_key(middle, last), np.ones(len(last), np.int64))
+        return _packed(out + _dealt(BIGRAMS, 2, shards, key, middle[place], last[place], before))
+
+    return run
+
+
+def _count_bigrams(shards: int):
+    """Bigrams as contexts and as n-grams, and what they add to their middle words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, out, words, values = table.to_pylist(), [], [np.zeros(0, np.uint64)], [np.zeros((VALUES, 0), np.int64)]
+        shard = rows[0]["shard"]
+        if part := [r for r in rows if r["kind"] == SUMS]:
+            middle = _keys_of(part)
+            key, place, few = _merged(_key(_joined(part, "b", np.uint64), middle), _joined(part, "c", each=4))
+            out.append((shard, CONTEXTS, 3, len(key), pack_sorted(key), pack(np.concatenate([np.zeros((1, len(key)), np.int64), few]).ravel())))
+            inside = place[middle[place] != BOS]  # a bigram is the context of what follows it, so these are all that end in the middle word
+            words.append(middle[inside])
+            values.append(np.concatenate([np.ones((1, len(inside)), np.int64), np.zeros((4, len(inside)), np.int64)]))
+        if part := [r for r in rows if r["kind"] == BIGRAMS]:
+            middle, last = _keys_of(part), _joined(part, "b", np.uint64)
+            key, place, c = _merged(_key(middle, last), _joined(part, "c"))
+            out += [(shard, GRAMS, 2, len(key), pack_sorted(key), pack(c)), _tally(shard, 2, c)]
+            out.append((shard, TALLY, 0, 6, np.array([(last[place] == END).sum(), 0, 0, 0, 0, 0], np.int64).tobytes()))
+            words.append(middle[place])
+            values.append(np.concatenate([np.zeros((1, len(c)), np.int64), _few(c)]))
+        key, _, value = _merged(_key(np.concatenate(words)), np.concatenate(values, axis=1))
+        return _packed(out + [(s, WORDS, 1, b - a, pack_sorted(key[a:b]), pack(value[:, a:b].ravel())) for s, a, b in _cut(key, shards)])
 
     return run
 
 
-def fit_words(trusted: DataFrame, shards: int) -> tuple[DataFrame, float]:
-    """(shard, key, what, value) of the n-grams and contexts seen, and what single words leave to their spelling."""
-    grams = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_trigrams, "w1 bigint, w2 bigint, w3 bigint, times bigint")
-    level = materialize(grams.groupBy("w1", "w2", "w3").agg(F.sum("times").alias("c")), "kn-trigrams")
-    names, parts, rest = ["w1", "w2", "w3"], [], 1.0
-    while names:
-        less = _less(level)
-        if len(names) > 1:
-            totals = materialize(level.groupBy(*names[:-1]).agg(F.sum("c").alias("total"), F.sum(less).alias("lost")), "kn-contexts")
-            parts.append((names[:-1], totals.select(*names[:-1], F.lit(REST).alias("what"), (F.col("lost") / F.col("total")).cast("float").alias("value"))))
-            own = level.join(totals, names[:-1])
-        else:
-            sums = level.agg(F.sum("c").alias("total"), F.sum(less).alias("lost")).first()
-            rest = sums["lost"] / sums["total"] if sums["total"] else 1.0
-            own = level.withColumn("total", F.lit(sums["total"]))
-        parts.append((names, own.select(*names, F.lit(OWN).alias("what"), ((F.col("c") - less) / F.col("total")).cast("float").alias("value"))))
-        names = names[1:]
-        if names:  # distinct left neighbours
-            level = materialize(level.groupBy(*names).agg(F.count(F.lit(1)).alias("c")), "kn-continuations")
-    out = None
-    for words, part in parts:
-        part = part.mapInArrow(_keyed(words, shards), "shard bigint, key bigint, what int, value float")
-        out = part if out is None else out.unionByName(part)
-    return out, rest
+def _count_words(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    key, _, value = _merged(_keys_of(rows), _joined(rows, "b", each=VALUES))
+    return _packed([(rows[0]["shard"], CONTEXTS, 2, len(key), pack_sorted(key), pack(value.ravel())), _tally(rows[0]["shard"], 1, value[0])])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """What all passes have learned of a shard: trigrams, and shorter n-grams that are contexts too."""
+    rows, out = table.to_pylist(), []
+    shard = rows[0]["shard"]
+    if part := [r for r in rows if r["level"] == 3 and r["kind"] == GRAMS]:
+        key, _, c = _merged(_keys_of(part), _joined(part, "b"))
+        out.append((shard, GRAMS, 3, len(key), pack_sorted(key), pack(c)))
+    grams, contexts = [r for r in rows if r["level"] < 3 and r["kind"] == GRAMS], [r for r in rows if r["kind"] == CONTEXTS]
+    if grams or contexts:
+        c = _joined(grams, "b")
+        values = np.concatenate([np.concatenate([c[None], np.zeros((VALUES - 1, len(c)), np.int64)]), _joined(contexts, "b", each=VALUES)], axis=1)
+        key, _, values = _merged(np.concatenate([_keys_of(grams), _keys_of(contexts)]), values)
+        out.append((shard, CONTEXTS, 0, len(key), pack_sorted(key), pack(values.ravel())))
+    return _packed(out)
+
+
+def _tallies(rows: DataFrame) -> np.ndarray:
+    """A row of six sums per level, summed before they come to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(6, r["level"])), pa.array(np.arange(6)), pa.array(np.frombuffer(r["a"], np.int64))], names=["level", "i", "v"])
+
+    out = np.zeros((4, 6), np.int64)
+    for level, i, v in rows.filter(F.col("kind") == TALLY).select("level", "a").mapInArrow(run, "level bigint, i bigint, v bigint").groupBy("level", "i").agg(F.sum("v")).collect():
+        out[level, i] = v
+    return out
+
+
+def _free(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's garbage is collected; a pass does not wait for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _in_pass(passes: int, at: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == at
+
+
+def fit_words(trusted: DataFrame, table: str, path: str, shards: int, tasks: int, passes: int) -> np.ndarray:
+    """Writes a table, in buckets of shards, of the n-grams and contexts seen; returns the tallies of its levels."""
+    spark, tallies, parts = trusted.sparkSession, np.zeros((4, 6), np.int64), scratch_path(trusted.sparkSession, "kn-parts")
+    texts, of = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")), F.col("kind")
+
+    def by_shard(rows: DataFrame, run) -> DataFrame:
+        return rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(run, _MODEL_DDL)
+
+    def put(rows: DataFrame) -> None:
+        rows.filter(of.isin(GRAMS, CONTEXTS)).withColumn("part", F.col("shard") % MERGES).write.mode("append").option("compression", "uncompressed").partitionBy("part").parquet(parts)
+
+    for at in range(passes):
+        three = materialize(by_shard(texts.mapInArrow(_trigrams(shards, passes, at), _MODEL_DDL), _count_trigrams(shards)), "kn-trigrams")
+        _free(spark)
+        two = materialize(by_shard(three.filter(of.isin(SUMS, BIGRAMS)), _count_bigrams(shards)), "kn-bigrams")
+        _free(spark)
+        put(three)
+        tallies += _tallies(three)
+        discard(three)
+        one = materialize(by_shard(two.filter(of == WORDS), _count_words), "kn-words")
+        put(two.unionByName(one))
+        tallies += _tallies(two.unionByName(one))
+        discard(two)
+        discard(one)
+        _free(spark)
+    if ends := int(tallies[0, 0]):  # an end is nobody's context; the words before it belong to all passes
+        key, c = _key(np.array([END])), np.array([ends])
+        shard = int(shard_of(key, shards)[0])
+        put(spark.createDataFrame([(shard, GRAMS, 1, 1, pack_sorted(key), pack(c), None, None)], _MODEL_DDL))
+        tallies[1] += np.frombuffer(_tally(shard, 1, c)[-1], np.int64)
+    for at in range(MERGES):
+        rows = spark.read.schema(f"{_MODEL_DDL}, part bigint").parquet(parts).filter(F.col("part") == at).drop("part")
+        by_shard(rows, _merge).write.mode("append").option("path", path).option("compression", "uncompressed").bucketBy(tasks, "shard").saveAsTable(table)
+        remove(spark, f"{parts}/part={at}")
+        _free(spark)
+    remove(spark, parts)
+    return tallies
 
 
 _REPLY = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("n_own", pa.int64()), ("n_rest", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
@@ -211,8 +361,7 @@ def _batches(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(piece)
-            lengths = tokens(textvec.strings(piece.column("text")))[3]
-            yield pa.RecordBatch.from_pylist([{"batch": uuid.uuid4().int >> 65, "shard": -1, "n": int(lengths.sum()), "a": sink.getvalue().to_pybytes()}], _REPLY)
+            yield pa.RecordBatch.from_pylist([{"batch": uuid.uuid4().int >> 65, "shard": -1, "n": piece.num_rows, "a": sink.getvalue().to_pybytes()}], _REPLY)
 
 
 def _texts(blob: bytes) -> pa.RecordBatch:
@@ -225,51 +374,67 @@ def _ask(shards: int):
             for row in batch.to_pylist():
                 token, one, two, _ = tokens(textvec.strings(_texts(row["a"]).column("text")))
                 key = textvec.distinct(np.concatenate(_keys(token, one, two)))[0]
-                cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
-                yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "shard": s, "n": b - a, "a": pack_sorted(key[a:b])} for s, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if b > a], _REPLY)
+                yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "shard": s, "n": b - a, "a": pack_sorted(key[a:b])} for s, a, b in _cut(key, shards)], _REPLY)
 
     return run
 
 
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    key, what, value = model.column("key").to_numpy().view(np.uint64), model.column("what").to_numpy(), model.column("value").to_numpy()
-    sides = []
-    for kind in (OWN, REST):
-        k, v = key[what == kind], value[what == kind]
-        order = np.argsort(k)
-        sides.append((k[order], v[order]))
+    """a, b: places of the trigrams that were seen, and their counts; c, d: places of the shorter n-grams and contexts, and their VALUES."""
+    questions = asked.to_pylist()
+    if not questions:
+        return _REPLY.empty_table()
+    rows, sides = model.to_pylist(), []
+    for kind, each in ((GRAMS, 1), (CONTEXTS, VALUES)):
+        part = [r for r in rows if r["kind"] == kind]  # one at most
+        sides.append((_keys_of(part), _joined(part, "b", each=each)))
     out = []
-    for r in asked.to_pylist():
+    for r in questions:
         wanted = unpack_sorted(r["a"], r["n"], np.uint64)
         found = []
-        for k, v in sides:
-            at = np.minimum(np.searchsorted(k, wanted), max(len(k) - 1, 0))
-            hit = np.flatnonzero(k[at] == wanted) if len(k) else np.zeros(0, np.int64)
-            found.append((len(hit), pack_sorted(hit.astype(np.uint32)), pack(v[at[hit]])))
+        for key, values in sides:
+            at = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+            hit = np.flatnonzero(key[at] == wanted) if len(key) else np.zeros(0, np.int64)
+            found.append((len(hit), pack_sorted(hit.astype(np.uint32)), pack(values[..., at[hit]].ravel())))
         (n_own, a, b), (n_rest, c, d) = found
         out.append({"batch": r["batch"], "shard": r["shard"], "n": r["n"], "n_own": n_own, "n_rest": n_rest, "a": a, "b": b, "c": c, "d": d})
     return pa.Table.from_pylist(out, _REPLY)
 
 
-def _score(shared, rest_of_words: float):
+def _score(shared, tallies: np.ndarray):
+    cuts = np.array([[0.0, *_cuts(*row[:4].tolist())] for row in tallies])
+    total_words = int(tallies[1, 5])
+    rest_of_words = float(cuts[1, 1:] @ tallies[1, [0, 1, 4]]) / total_words if total_words else 1.0
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
         piece, replies = _texts(rows[0]["a"]), rows[1:]
         texts = textvec.strings(piece.column("text"))
-        token, one, two, count = tokens(texts)
+        token, one, two, n_tokens = tokens(texts)
         keys = _keys(token, one, two)
         distinct = textvec.distinct(np.concatenate(keys))[0]
-        own, rest, at = np.zeros(len(distinct)), np.ones(len(distinct)), 0
+        seen, at = np.zeros((VALUES, len(distinct)), np.int64), 0
         for r in replies:  # shards in order have sorted keys
-            own[at + unpack_sorted(r["a"], r["n_own"], np.uint32).astype(np.int64)] = unpack(r["b"], r["n_own"], np.float32)
-            rest[at + unpack_sorted(r["c"], r["n_rest"], np.uint32).astype(np.int64)] = unpack(r["d"], r["n_rest"], np.float32)
+            seen[0, at + unpack_sorted(r["a"], r["n_own"], np.uint32).astype(np.int64)] = unpack(r["b"], r["n_own"], np.int64)
+            seen[:, at + unpack_sorted(r["c"], r["n_rest"], np.uint32).astype(np.int64)] = unpack(r["d"], VALUES * r["n_rest"], np.int64).reshape(VALUES, -1)
             at += r["n"]
         three, two_, one_, context, history = [np.searchsorted(distinct, k) for k in keys]
+
+        def share(level, gram, total):  # what an n-gram has of its own
+            c = seen[0, gram]
+            return (c - cuts[level][np.minimum(c, 3)]) / np.maximum(total, 1)
+
+        def rest(level, place):  # what a context leaves to the shorter n-gram
+            total = seen[1, place]
+            return np.where(total > 0, cuts[level, 1:] @ seen[2:, place] / np.maximum(total, 1), 1.0)
+
         spelled, symbols_of = spelling(texts, shared.value)
-        left3, left2 = rest[context], rest[context] * rest[history]
+        left3 = rest(3, context)
+        left2 = left3 * rest(2, history)
+        own = share(3, three, seen[1, context]) + left3 * share(2, two_, seen[1, history]) + left2 * share(1, one_, total_words)
         with np.errstate(divide="ignore"):
-            log_p = np.logaddexp(np.log(own[three] + left3 * own[two_] + left2 * own[one_]), np.log(left2 * rest_of_words) + spelled * np.log(10))
-        total = np.add.reduceat(log_p, np.cumsum(count) - count)
+            log_p = np.logaddexp(np.log(own), np.log(left2 * rest_of_words) + spelled * np.log(10))
+        total = np.add.reduceat(log_p, np.cumsum(n_tokens) - n_tokens)
         return pa.table({"doc_id": piece.column("doc_id"), "lang": piece.column("lang"), "perplexity": np.maximum(1.0, np.exp(-total / symbols_of))})
 
     return run
@@ -278,16 +443,29 @@ def _score(shared, rest_of_words: float):
 def word_perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(doc_id, lang, perplexity) of docs under the word model of trusted."""
     spark = docs.sparkSession
-    stored = materialize(docs.select("doc_id", "lang", "text").mapInArrow(_batches, _REPLY_DDL), "kn-batches")
-    tokens = stored.agg(F.sum("n")).first()[0] or 0
-    shards = max(shuffle_width(spark), -(-tokens // SHARD_TOKENS))
-    tasks = max(shuffle_width(spark), -(-tokens // TASK_TOKENS))
-    shared = spark.sparkContext.broadcast(fit(trusted))  # SYMBOLS ** ORDER floats
-    model, rest = fit_words(trusted, shards)
-    asked = stored.mapInArrow(_ask(shards), _REPLY_DDL).repartition(tasks, "shard")
-    replies = asked.groupBy("shard").cogroup(model.repartition(tasks, "shard").groupBy("shard")).applyInArrow(_answer, _REPLY_DDL)
-    schema = docs.select("doc_id", "lang").schema.add("perplexity", "double")
-    return stored.unionByName(replies).repartition(tasks, "batch").groupBy("batch").applyInArrow(_score(shared, rest), schema)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = tasks = max(shuffle_width(spark), -(-size // SHARD_BYTES))
+    learn, score = [max(1, min(most, size // PASS_BYTES)) for most in (LEARN_PASSES, SCORE_PASSES)]
+    texts = []
+    for at in range(score):
+        texts.append(materialize(trusted.filter(_in_pass(score, at)).select("text"), "kn-texts"))
+        _free(spark)
+    shared = spark.sparkContext.broadcast(fit(_union(texts)))  # SYMBOLS ** ORDER floats
+    table, path = f"chromaweft_kn_{uuid.uuid4().hex}", scratch_path(spark, "kn-model")
+    tallies = fit_words(_union(texts), table, path, shards, tasks, learn)
+    for df in texts:
+        discard(df)
+    schema, scored = docs.select("doc_id", "lang").schema.add("perplexity", "double"), []
+    for at in range(score):
+        stored = materialize(docs.select("doc_id", "lang", "text").filter(_in_pass(score, at)).mapInArrow(_batches, _REPLY_DDL), "kn-batches")
+        asked = stored.mapInArrow(_ask(shards), _REPLY_DDL).repartition(tasks, "shard")
+        replies = asked.groupBy("shard").cogroup(spark.table(table).groupBy("shard")).applyInArrow(_answer, _REPLY_DDL)
+        scored.append(materialize(stored.unionByName(replies).repartition(tasks, "batch").groupBy("batch").applyInArrow(_score(shared, tallies), schema), "kn-perplexity"))
+        discard(stored)
+        _free(spark)
+    spark.sql(f"DROP TABLE {table}")
+    remove(spark, path)
+    return _union(scored)
 
 
 def perplexity(docs: DataFrame, model: np.ndarray, keep: list[str] | None = None) -> DataFrame:
@@ -328,7 +506,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     ids = materialize(ids, "kn-trusted").hint("merge")  # trusted ids grow with the corpus: always joined by shuffle
     docs = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
     held_out = crc_mod(F.col("doc_id"), HELD_OUT) == 0
-    scored = materialize(word_perplexity(docs, docs.select("doc_id", "text").filter(~held_out).join(ids, "doc_id", "left_semi")), "kn-perplexity")
+    scored = word_perplexity(docs, docs.select("doc_id", "text").filter(~held_out).join(ids, "doc_id", "left_semi"))
     trusted = scored.join(ids, "doc_id", "left_semi")
     cuts = {r["lang"]: r["threshold"] for r in thresholds(trusted.filter(held_out), quantile).collect()}  # a number per language
     if not cuts:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from chromaweft.llm import decontamination, jaccard_join, katz, language_id, quality_lm, quality_rules, queries, secret_scan, sp_codec, textvec, toxicity, warc
-from chromaweft.llm.common import scratch_path
+from chromaweft.llm.common import scratch_path, shared_dir
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
@@ -770,6 +771,21 @@ def test_word_model_against_a_plain_one(spark):
         assert got[i] == pytest.approx(10 ** (-want / n[0]), rel=1e-4)
 
 
+def test_passes_change_nothing_and_leave_nothing(spark, docs, monkeypatch):
+    rows = docs.select("doc_id", "lang", "text").filter("doc_id < 60")
+    rows = rows.union(spark.createDataFrame([(None, "en", "one"), (7, "en", "two")], rows.schema))
+    score = lambda: sorted((r["doc_id"] or -1, r["perplexity"]) for r in quality_lm.word_perplexity(rows, rows.filter("doc_id % 2 = 1")).collect())
+    folder = f"{shared_dir(spark)}/chromaweft"
+    os.makedirs(folder, exist_ok=True)
+    before, found = set(os.listdir(folder)), []
+    for learn, scored in ((1, 1), (3, 2)):
+        for name, value in (("PASS_BYTES", 1), ("LEARN_PASSES", learn), ("SCORE_PASSES", scored)):
+            monkeypatch.setattr(quality_lm, name, value)
+        found.append(score())
+    assert len(found[0]) == rows.count() and found[1] == [(i, pytest.approx(x, rel=1e-9)) for i, x in found[0]]
+    assert {x[:13] for x in set(os.listdir(folder)) - before} == {"kn-perplexity"} and not [t for t in spark.catalog.listTables() if "chromaweft_kn" in t.name]
+
+
 def test_shuffled_text_of_another_script_is_less_likely(spark):
     words = "мама мыла раму котик спит тихо окно и снег идет".split()
     good = " ".join(words * 5)
