@@ -12,8 +12,8 @@ at most 32 ** 4 rows (4 MB) and is sent to every task.
 
 Disk. What is asked and counted takes several times the input, so both are done in passes, and what a pass has written is
 deleted before the next: n-grams are learned by ranges of their middle word (all counts that a trigram adds to belong to that word, but for
-those of the end of a text), documents are scored by ranges of a hash of their id. Every pass reads the texts anew. There are up to 24 and 16
-passes, fewer for small tables, whatever their size beyond. The model is written in buckets of shards, so that no pass shuffles it.
+those of the end of a text), documents are scored by ranges of a hash of their id. Trusted texts are kept as numbers of words, about as long as the
+texts, until all is learned; every pass of scoring reads the texts anew. There are up to 24 and 12 passes, fewer for small tables, whatever their size beyond. The model is written in buckets of shards, so that no pass shuffles it.
 
 A tenth of the trusted documents, by a hash of the id, is not learned from: the quantile of their perplexity is the threshold
 of their language, since texts that were learned look better than others.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from chromaweft.llm import textvec
 from chromaweft.llm.common import crc_mod, discard, materialize, remove, scratch_path, shuffle_width
-from chromaweft.llm.katz import pack, pack_sorted, shard_of, unpack, unpack_sorted
+from chromaweft.llm.katz import _unique, pack, pack_sorted, shard_of, unpack, unpack_sorted
 
 SYMBOLS, ORDER = 32, 4
 EDGE = 31
@@ -50,8 +50,9 @@ HELD_OUT = 10
 BATCH_BYTES = 8 << 20
 #: Bytes of all text per shard.
 SHARD_BYTES = 24 << 20
-#: Passes at most, over the middle words that are learned and over the documents that are scored, and the bytes of text that make one.
-LEARN_PASSES, SCORE_PASSES, PASS_BYTES = 24, 16, 8 << 20
+#: Passes at most, over the documents to find the trusted ones, over the middle words that are learned and over the documents that are scored,
+#: and the bytes of text that make one.
+SELECT_PASSES, LEARN_PASSES, SCORE_PASSES, PASS_BYTES = 4, 24, 12, 8 << 20
 #: Parts in which what the passes have learned is merged.
 MERGES = 8
 #: Perplexities are binned by their logarithm for the quantiles: 1 to 32 ** 2 in this many steps.
@@ -97,7 +98,11 @@ def _cuts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 def fit(trusted: DataFrame) -> np.ndarray:
     """log10 probability of each n-gram's last symbol after the others: the spelling model, made on the driver of at most SYMBOLS ** ORDER counts."""
-    grams = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_count, "code int, times bigint").groupBy("code").agg(F.sum("times").alias("c")).toArrow()
+    return _fit(trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_count, "code int, times bigint"))
+
+
+def _fit(counts: DataFrame) -> np.ndarray:
+    grams = counts.groupBy("code").agg(F.sum("times").alias("c")).toArrow()
     levels = [np.zeros(SYMBOLS**ORDER, np.int64)]
     levels[0][grams.column("code").to_numpy()] = grams.column("c").to_numpy()
     for order in range(ORDER - 1, 0, -1):  # distinct left neighbours
@@ -127,13 +132,17 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     count = np.bincount(doc, minlength=len(texts)) + 1
     token = np.full(len(word) + len(texts), END, np.uint64)
     token[np.arange(len(word)) + doc] = word
+    return token, *_before(token, count), count
+
+
+def _before(token: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(count) - count
     one, two = np.empty_like(token), np.empty_like(token)
     one[1:] = token[:-1]
     one[first] = BOS
     two[1:] = one[:-1]
     two[first] = BOS
-    return token, one, two, count
+    return one, two
 
 
 def _keys(token: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
@@ -154,7 +163,8 @@ def spelling(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarra
 #: Rows of the model and of what it is summed from. GRAMS: sorted keys and counts. CONTEXTS: sorted keys, and for each VALUES of it.
 #: SUMS and BIGRAMS: middle words (sorted) and the words before and behind them, with what contexts have so far or how many words were seen before.
 #: WORDS: sorted keys, VALUES so far. TALLY: n-grams counted 1 .. 4 times and more than twice, sum of all counts; on level 0 the words before an end.
-GRAMS, CONTEXTS, SUMS, BIGRAMS, WORDS, TALLY = range(6)
+#: TOKENS: texts (shard, level and n: how many texts, distinct words and tokens) by sorted distinct words, numbers of them, tokens of each text. SPELLING: sorted codes and counts.
+GRAMS, CONTEXTS, SUMS, BIGRAMS, WORDS, TALLY, TOKENS, SPELLING = range(8)
 #: The n-gram's count; as a context: the total count of what follows, and how many n-grams follow that are counted once, twice, more often.
 VALUES = 5
 _MODEL = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
@@ -202,13 +212,33 @@ def _few(c: np.ndarray) -> np.ndarray:
     return np.array([c, c == 1, c == 2, c > 2], np.int64)
 
 
+def _tokens(batches):
+    """What every pass over the trusted texts starts from; as long as the texts themselves."""
+    for batch in batches:
+        for piece in textvec.pieces(batch, limit=4 << 20):
+            texts = textvec.strings(piece.column("text"))
+            token, _, _, count = tokens(texts)
+            word, place = _unique(token)
+            code, times = textvec.distinct(codes(texts)[0])
+            row = len(texts), TOKENS, len(word), len(token), pack_sorted(word), pack(place.astype(np.uint32)), pack(count.astype(np.uint32))
+            yield from _packed([row, (0, SPELLING, 0, len(code), pack_sorted(code), pack(times.astype(np.int64)))]).to_batches()
+
+
+def _spelled(batches):
+    for batch in batches:
+        for r in batch.to_pylist():
+            code = unpack_sorted(r["a"], r["n"], np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(unpack(r["b"], r["n"], np.int64))], names=["code", "times"])
+
+
 def _trigrams(shards: int, passes: int, at: int):
     """Trigrams whose middle word is of the pass, by shard."""
 
     def run(batches):
         for batch in batches:
-            for piece in textvec.pieces(batch, limit=BATCH_BYTES):
-                token, one, two, _ = tokens(textvec.strings(piece.column("text")))
+            for r in batch.to_pylist():
+                token = unpack_sorted(r["a"], r["level"], np.uint64)[unpack(r["b"], r["n"], np.uint32)]
+                one, two = _before(token, unpack(r["c"], r["shard"], np.uint32).astype(np.int64))
                 mine = np.flatnonzero(one % np.uint64(passes) == at)
                 token, one, two = token[mine], one[mine], two[mine]
                 key, place, times = _merged(_key(two, one, token), np.ones(len(mine), np.int64))
@@ -312,10 +342,11 @@ def _in_pass(passes: int, at: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == at
 
 
-def fit_words(trusted: DataFrame, table: str, path: str, shards: int, tasks: int, passes: int) -> np.ndarray:
+def fit_words(texts: DataFrame, table: str, path: str, shards: int, tasks: int, passes: int) -> np.ndarray:
     """Writes a table, in buckets of shards, of the n-grams and contexts seen; returns the tallies of its levels."""
-    spark, tallies, parts = trusted.sparkSession, np.zeros((4, 6), np.int64), scratch_path(trusted.sparkSession, "kn-parts")
-    texts, of = trusted.select(F.coalesce(F.col("text"), F.lit("")).alias("text")), F.col("kind")
+    spark, tallies, parts = texts.sparkSession, np.zeros((4, 6), np.int64), scratch_path(texts.sparkSession, "kn-parts")
+    of = F.col("kind")
+    texts = texts.filter(of == TOKENS)
 
     def by_shard(rows: DataFrame, run) -> DataFrame:
         return rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(run, _MODEL_DDL)
@@ -412,13 +443,13 @@ def _score(shared, tallies: np.ndarray):
         texts = textvec.strings(piece.column("text"))
         token, one, two, n_tokens = tokens(texts)
         keys = _keys(token, one, two)
-        distinct = textvec.distinct(np.concatenate(keys))[0]
+        distinct, place = _unique(np.concatenate(keys))
         seen, at = np.zeros((VALUES, len(distinct)), np.int64), 0
         for r in replies:  # shards in order have sorted keys
             seen[0, at + unpack_sorted(r["a"], r["n_own"], np.uint32).astype(np.int64)] = unpack(r["b"], r["n_own"], np.int64)
             seen[:, at + unpack_sorted(r["c"], r["n_rest"], np.uint32).astype(np.int64)] = unpack(r["d"], VALUES * r["n_rest"], np.int64).reshape(VALUES, -1)
             at += r["n"]
-        three, two_, one_, context, history = [np.searchsorted(distinct, k) for k in keys]
+        three, two_, one_, context, history = np.split(place, len(keys))
 
         def share(level, gram, total):  # what an n-gram has of its own
             c = seen[0, gram]
@@ -447,10 +478,12 @@ def word_perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     shards = tasks = max(shuffle_width(spark), -(-size // SHARD_BYTES))
     learn, score = [max(1, min(most, size // PASS_BYTES)) for most in (LEARN_PASSES, SCORE_PASSES)]
     texts = []
-    for at in range(score):
-        texts.append(materialize(trusted.filter(_in_pass(score, at)).select("text"), "kn-texts"))
+    select = min(score, SELECT_PASSES)
+    for at in range(select):
+        texts.append(materialize(trusted.filter(_in_pass(select, at)).select("text").mapInArrow(_tokens, _MODEL_DDL), "kn-texts"))
         _free(spark)
-    shared = spark.sparkContext.broadcast(fit(_union(texts)))  # SYMBOLS ** ORDER floats
+    spelled = _union(texts).filter(F.col("kind") == SPELLING).mapInArrow(_spelled, "code int, times bigint")
+    shared = spark.sparkContext.broadcast(_fit(spelled))  # SYMBOLS ** ORDER floats
     table, path = f"chromaweft_kn_{uuid.uuid4().hex}", scratch_path(spark, "kn-model")
     tallies = fit_words(_union(texts), table, path, shards, tasks, learn)
     for df in texts:
